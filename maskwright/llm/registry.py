@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid
+from . import bpe, decontaminate, langid, minhash
 
 
 def queries() -> dict:
-    found = (bpe.op4_byte_bpe, decontaminate.op8_benchmark_decontamination, langid.op9_language_id)
+    found = (bpe.op4_byte_bpe, decontaminate.op8_benchmark_decontamination, langid.op9_language_id, minhash.op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
