@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, minhash, suffix
+from . import bpe, decontaminate, langid, lines, minhash, suffix
 
 
 def queries() -> dict:
-    found = (suffix.op3_suffix_array_dedup, bpe.op4_byte_bpe, decontaminate.op8_benchmark_decontamination, langid.op9_language_id, minhash.op10_minhash_near_dedup)
+    found = (lines.op1_line_dedup, suffix.op3_suffix_array_dedup, bpe.op4_byte_bpe, decontaminate.op8_benchmark_decontamination, langid.op9_language_id, minhash.op10_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
