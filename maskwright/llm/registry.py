@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, lines, minhash, neighbours, suffix, tokencounts
+from . import bpe, chat, decontaminate, identifiers, langid, lines, minhash, neighbours, suffix, tokencounts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         chat.op2_chat_formatting,
         suffix.op3_suffix_array_dedup,
         bpe.op4_byte_bpe,
+        identifiers.op5_personal_identifiers,
         tokencounts.op6_token_counts,
         neighbours.op7_nearest_neighbours,
         decontaminate.op8_benchmark_decontamination,
