@@ -10,9 +10,9 @@ Sets that are equal are one node from the start, under their smallest doc_id. Th
 buckets' pairs are then verified on full sets without writing all pairs of a bucket:
 first each node against two hubs (the members of its buckets that share most places
 with others), then what is still apart against the hub of every bucket, and last all
-pairs of a bucket that no verified link has joined. A bucket of copies is a single
-component after the first step, so the last step sees only what is truly apart; no
-bucket is capped.
+pairs of a bucket that no verified link has joined: those of a large bucket block by
+block, as matrix products. A bucket of copies is mostly one component after the first
+step; no bucket is capped.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BANDS, ROWS = 40, 5
 #: A link needs NUMERATOR / DENOMINATOR at least.
 NUMERATOR, DENOMINATOR = 75, 100
 CACHED_WORDS = 500_000
+#: Members up to which a bucket's last pairs are rows; nodes in a block of larger ones; columns of a matrix product.
+FEW, BLOCK, COLUMNS = 32, 512, 8192
 
 _U32 = np.uint32
 
@@ -146,6 +148,57 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
 
 
+def _blocked(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of large buckets: members has key, node, component and held, the bucket's size.
+
+    A bucket is cut into blocks of BLOCK nodes in expectation, and each pair of blocks
+    is a group of its own, whose pairs are compared as a matrix product. No row is
+    made for a pair; only links that join two components come out.
+    """
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    dealt = members.select("key", "node", "component", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"))
+
+    def links(group: pa.Table) -> pa.Table:
+        node, component, own = (group.column(c).to_numpy() for c in ("node", "component", "own"))
+        column = group.column("members").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        values, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        number, times = np.unique(values, return_inverse=True, return_counts=True)[1:]
+        shared = times[number] > 1
+        row, number = row[shared], np.unique(number[shared], return_inverse=True)[1]
+        common_of = np.zeros((len(sizes), len(sizes)), np.float32)
+        order = np.argsort(number, kind="stable")
+        row, number = row[order], number[order]
+        for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+            part = slice(*np.searchsorted(number, (at, at + COLUMNS)))
+            has = np.zeros((len(sizes), COLUMNS), np.float32)
+            has[row[part], number[part] - at] = 1
+            common_of += has @ has.T
+        inter = common_of.astype(np.int64)
+        close = DENOMINATOR * inter >= NUMERATOR * (sizes[:, None] + sizes[None, :] - inter)
+        close &= component[:, None] < component[None, :]
+        if group.column("i")[0].as_py() != group.column("k")[0].as_py():
+            close &= own[:, None] != own[None, :]
+        top: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                c = up
+            return c
+
+        found = []
+        for p, q in zip(*(z.tolist() for z in np.nonzero(close)), strict=True):
+            c, d = find(int(component[p])), find(int(component[q]))
+            if c != d:
+                top[max(c, d)] = min(c, d)
+                found.append(sorted((int(node[p]), int(node[q])), reverse=True))
+        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return dealt.join(sets.select("node", "members"), "node").groupBy("key", "i", "k").applyInArrow(links, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
@@ -187,12 +240,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = common.written(components(links), "labels")
 
     rest = common.written(apart(label), "apart")
-    x = rest.select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-    y = rest.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
+    counted = rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key")
+    few = counted.where(F.col("held") <= FEW)
+    x = few.select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
+    y = few.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
     last = ordered(x.join(y, "key").where("cx < cy").select("x", "y"))
     last = common.written(last.join(tested.union(more), ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verified(last, sets))
-    label = common.written(components(links), "labels")
+    links = links.union(_verified(last, sets)).union(_blocked(counted.where(F.col("held") > FEW), sets))
+    label = common.written(components(common.written(links, "links")), "labels")
 
     named = rows.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left").join(label, "node", "left")
     component = F.coalesce("component", "node", "doc_id")

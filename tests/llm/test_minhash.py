@@ -57,8 +57,10 @@ def corpus(seed, n=260):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_same_as_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "few", "block", "columns"), [(1, 32, 512, 8192), (2, 2, 7, 50)])
+def test_same_as_brute_force(spark, monkeypatch, seed, few, block, columns):
+    for name, value in (("FEW", few), ("BLOCK", block), ("COLUMNS", columns)):
+        monkeypatch.setattr(minhash, name, value)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()}
