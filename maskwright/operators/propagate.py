@@ -17,7 +17,7 @@ REPEAT = "exact_repeat_propagation"
 def with_value(entities: DataFrame) -> DataFrame:
     """entities with `value`, the normal form under which repeats are the same."""
     value = normalized_value(F.col("entity_type"), F.col("text"), F.col("normalized"))
-    return entities.select("*", F.explode(F.array(value)).alias("value"))  # once: later steps refer to it often
+    return entities.select(*[c for c in entities.columns if c != "value"], F.explode(F.array(value)).alias("value"))  # once: later steps refer to it often
 
 
 def propagate(containers: DataFrame, entities: DataFrame) -> DataFrame:
