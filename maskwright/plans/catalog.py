@@ -72,9 +72,10 @@ select {key} as doc_id, lower(v) as value, count(*) as n from (
     from {table} where contains({text}, '@'))
 where length(v) <= 254 and position('@' in v) <= 65 group by all
 """
+# RE2 cannot look around: other characters are doubled, so that one of each pair can serve as the edge of either neighbour.
 _SQL_CARD = """
 with c as (select doc_id, regexp_replace(v, '[^0-9]', '', 'g') as value from (
-    select doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:[0-9][ -]?){12,18}[0-9])(?:$|[^0-9])', 1)) as v from documents))
+    select doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\\1\\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){12,18}[0-9])(?:$|[^0-9])', 1)) as v from documents))
 select doc_id, value, count(*) as n from c where (
     select sum(case when (length(value) - k) % 2 = 1 then case when 2 * d > 9 then 2 * d - 9 else 2 * d end else d end)
     from (select k, cast(substr(value, k::int, 1) as int) as d from unnest(range(1, length(value) + 1)) as r(k))) % 10 = 0 group by all
@@ -85,12 +86,14 @@ select doc_id, value, count(*) as n from (
 where list_bool_and(list_transform(string_split(value, '.'), lambda x: cast(x as int) <= 255 and (x = '0' or x[1] <> '0'))) group by all
 """
 _SQL_PHONE = f"""
-with c as (select doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') as d from (
-    select doc_id, unnest(regexp_extract_all(text, '(?:^|{_EDGE})((?:\\+\\s*)?(?:\\([0-9]{{2,4}}\\)|[0-9])(?:[\\s().-]*[0-9]){{7,14}})(?:$|{_EDGE})', 1)) as v from documents)),
+with c as (select doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') as d, substr(text, greatest(1, position(v in text) - 60), least(60, position(v in text) - 1)) as before from (
+    select doc_id, text, unnest(regexp_extract_all(text, '(?:^|{_EDGE})((?:\\+\\s*)?(?:\\([0-9]{{2,4}}\\)|[0-9])(?:[\\s().-]*[0-9]){{7,14}})(?:$|{_EDGE})', 1)) as v from documents)),
 s as (select *, case when v[1] = '+' then case when length(d) >= 9 and list_unique(string_split(d, '')) >= 3 then '0.98' end
     when length(d) = 10 and d[1] in ('6', '7', '8', '9') then '0.94'
     when d[1] = '0' and length(d) in (10, 11) and length(regexp_replace(v, '[^ ().-]', '', 'g')) >= 2 then '0.95' end as confidence from c)
-select doc_id, v || '|' || confidence as value, count(*) as n from s where confidence is not null and length(d) between 8 and 15 group by all
+select doc_id, v || '|' || confidence as value, count(*) as n from s where confidence is not null and length(d) between 8 and 15
+    and not regexp_matches(before, '(?i)\\b(?:CIN|DIN|ISIN|SEBI|registration|reference|folio|application|invoice|order|ticket|offer|shares?|amount|million|crore|lakh|page|financial\\s+year)\\b[^\\n]{{0,36}}$')
+    and not regexp_matches(before, '(?:₹|\\$|€|£)\\s*[0-9,.\\s]*$') group by all
 """
 
 
