@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fakes, values
+from ..functions import fakes, ner, values
 from ..functions.types import NER, containers_of
 from ..operators import detect, plan, propagate, report, rewrite, score
 from ..operators.link import mail_fits_name
@@ -100,9 +100,9 @@ select doc_id, v || '|' || confidence as value, count(*) as n from s where confi
 # Detection over derived texts --------------------------------------------------------
 
 
-def _derived(spark, sf_dir, table: str, key: str, text: str, ner: str | None = None) -> DataFrame:
+def _derived(spark, sf_dir, table: str, key: str, text: str, spans: str | None = None) -> DataFrame:
     df = _table(spark, sf_dir, table)
-    return containers_of(df, F.col(key), F.expr(text), ner=F.expr(ner).cast(NER) if ner else None)
+    return containers_of(df, F.col(key), F.expr(text), ner=F.expr(spans).cast(NER) if spans else None)
 
 
 def _of_key(entities: DataFrame, *columns: Column) -> DataFrame:
@@ -173,8 +173,8 @@ union all select c_custkey, 'Bob Stone', 27 + length(w), 0.96 from n
 
 def detect_company_ner_derived(spark, sf_dir):
     text = "concat('The auditor is ', case when c_custkey % 3 = 0 then 'Orion & Vale' when c_custkey % 3 = 1 then 'Orion Vale Securities' else 'Audit Committee' end, ' since ', c_custkey % 50 + 1950)"
-    ner = "array(named_struct('label', 'ORG', 'start', 15, 'end', 15 + case when c_custkey % 3 = 0 then 12 when c_custkey % 3 = 1 then 21 else 15 end))"
-    return _of_key(_found(_derived(spark, sf_dir, "customer", "c_custkey", text, ner), "company"), F.col("text").alias("value"), F.round("confidence", 4).alias("confidence"))
+    spans = "array(named_struct('label', 'ORG', 'start', 15, 'end', 15 + case when c_custkey % 3 = 0 then 12 when c_custkey % 3 = 1 then 21 else 15 end))"
+    return _of_key(_found(_derived(spark, sf_dir, "customer", "c_custkey", text, spans), "company"), F.col("text").alias("value"), F.round("confidence", 4).alias("confidence"))
 
 
 _SQL_COMPANY_NER = """
@@ -182,6 +182,20 @@ select c_custkey as key, case when c_custkey % 3 = 0 then 'Orion & Vale' else 'O
 """
 
 
+def detect_person_ner_derived(spark, sf_dir):
+    """Names from a gazetteer; the second is qualified by the role before it."""
+    text = f"concat('Spoke with Ann Lee about ', {_LETTERS}, '. CEO: Bob Stone')"
+    containers = _derived(spark, sf_dir, "customer", "c_custkey", text)
+    containers = ner.with_ner(containers, ner.gazetteer(F.col("text"), {"PERSON": ["Ann Lee", "Bob Stone", "Bob"], "ORG": ["Hill Road"]}))
+    return _of_key(_found(containers, "person"), F.col("text").alias("value"), F.col("start"), F.round("confidence", 4).alias("confidence"))
+
+
+_SQL_PERSON_NER = """
+select c_custkey as key, 'Ann Lee' as value, 11 as start, 0.84::double as confidence from customer
+union all select c_custkey, 'Bob Stone', 32 + length((c_custkey % 1000)::varchar), 0.98 from customer
+"""
+
+
 # Conflicts and propagation -----------------------------------------------------------
 
 _CANDIDATES = """
@@ -583,7 +597,7 @@ select tp, (select count(*) from made where t = 'ADDRESS') - tp as fp, (select c
 
 _PLAIN = (
     detect_email, detect_pages_email, detect_card, detect_ipv4, detect_phone, detect_ssn_derived, detect_dob_derived, detect_company_legal_derived, detect_address_derived, detect_person_role_derived,
-    detect_company_ner_derived, resolve_conflicts, resolve_tier, overlap_conflicts, propagate_repeats, normalize_values, hmac_seed, mask_values, link_person_email, consistency_check, run_offsets, affected_runs,
+    detect_company_ner_derived, detect_person_ner_derived, resolve_conflicts, resolve_tier, overlap_conflicts, propagate_repeats, normalize_values, hmac_seed, mask_values, link_person_email, consistency_check, run_offsets, affected_runs,
     rewrite_runs, rewrite_documents, preflight_unsafe, synthetic_spans, detections_by_type, plan_by_type, leak_classify, repeat_flag, preview_limit, top_types, containers_by_story, context_key,
     exact_counts_by_type, micro_metrics, macro_metrics, error_distribution, relaxed_address,
 )
@@ -597,7 +611,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "detect_email": _SQL_EMAIL.format(key="doc_id", text="text", table="documents"), "detect_pages_email": _SQL_EMAIL.format(key="page_id", text="html", table="pages"),
         "detect_card": _SQL_CARD, "detect_ipv4": _SQL_IP, "detect_phone": _SQL_PHONE, "detect_ssn_derived": _SQL_SSN, "detect_dob_derived": _SQL_DOB, "detect_company_legal_derived": _SQL_COMPANY,
-        "detect_address_derived": _SQL_ADDRESS, "detect_person_role_derived": _SQL_PERSON, "detect_company_ner_derived": _SQL_COMPANY_NER, "resolve_conflicts": _SQL_RESOLVE,
+        "detect_address_derived": _SQL_ADDRESS, "detect_person_role_derived": _SQL_PERSON, "detect_company_ner_derived": _SQL_COMPANY_NER, "detect_person_ner_derived": _SQL_PERSON_NER, "resolve_conflicts": _SQL_RESOLVE,
         "resolve_tier": f"with {_SQL_CANDIDATES} select tier, entity_type, count(*) as n from t group by 1, 2", "overlap_conflicts": _SQL_OVERLAP, "propagate_repeats": _SQL_REPEATS,
         "normalize_values": _SQL_NORMALIZE, "hmac_seed": _SQL_HMAC, "mask_values": _SQL_MASK, "link_person_email": _SQL_LINK, "consistency_check": _SQL_CONSISTENCY,
         "run_offsets": f'with {_SQL_RUNS} select key, run_index, start, "end" from f',
