@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -160,7 +160,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 50_000], strict=True), _TYPES, strict=True)], _NAMES)
 
     def rank(asking: pa.Table, held: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, list[dict]]] = []
         if asking.num_rows and held.num_rows:
             of = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(t.num_rows, dim).astype(np.float64)
             if held.num_rows > len(distinct := dict.fromkeys(zip(held.column("vec_id").to_pylist(), held.column("vector").to_pylist(), strict=True))):
@@ -176,17 +176,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE)
                     chosen = np.flatnonzero((close >= floor - 1e-9 * (1 + abs(floor))) & np.isfinite(close)) if np.isfinite(floor) else np.flatnonzero(np.isfinite(close))
                     exact = (vectors_of[chosen] * vector).sum(axis=1)
                     order = np.lexsort((ids[chosen], -exact))[:k]
-                    out += zip([query] * len(order), ids[chosen][order].tolist(), exact[order].tolist(), strict=True)
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                    out.append((query, [{"far": -s, "vec_id": i} for s, i in zip(exact[order].tolist(), ids[chosen][order].tolist(), strict=True)]))
+        columns = list(zip(*out, strict=True)) or [[], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), _NEAR), strict=True)], ["query_id", "near"])
 
     keys = ["tree", "leaf", "part", "block"]
-    found = queries.mapInArrow(asked, _SCHEMA).groupBy(*keys).cogroup(usable.mapInArrow(members, _SCHEMA).groupBy(*keys)).applyInArrow(rank, "query_id bigint, vec_id bigint, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = queries.mapInArrow(asked, _SCHEMA).groupBy(*keys).cogroup(usable.mapInArrow(members, _SCHEMA).groupBy(*keys)).applyInArrow(rank, "query_id bigint, near array<struct<far:double,vec_id:bigint>>")
+    # A row for a query and leaf, not for each neighbour; those of one query are as many as its leaves.
+    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    each = best.select("query_id", F.posexplode("near").alias("at", "n"))
+    return each.select("query_id", (F.col("at") + 1).alias("rank"), "n.vec_id", (-F.col("n.far")).alias("score"))
 
 
+_NEAR = pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())]))
 _SCHEMA = "tree int, leaf int, part int, block int, vec_id bigint, vector binary"
 _NAMES = ["tree", "leaf", "part", "block", "vec_id", "vector"]
 _TYPES = [pa.int32()] * 4 + [pa.int64(), pa.binary()]
