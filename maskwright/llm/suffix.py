@@ -341,7 +341,8 @@ def without_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     told = common.written(_told_apart(_anchored(docs)), "told")
     hot = told.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    told = told.join(hot, "anchor", "left").select("doc_id", "lo", "hi", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
+    compared = told.where("anchor is not null").join(hot, "anchor", "left").select("doc_id", "lo", "hi", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
+    told = compared.union(told.where("anchor is null").withColumn("hot", F.lit(False)))
     removed = _compared(_parts(docs, told))
     listed = removed.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
