@@ -35,7 +35,7 @@ GRAM = 32
 #: Contexts under one anchor that a task compares at once.
 HOT = 20_000
 #: Bytes of text worked on at once; of contexts sorted at once.
-PIECE, SORTED = 2 << 20, 4 << 20
+PIECE, SORTED = 1 << 20, 3 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INDEX = np.uint64((1 << 23) - 1)
