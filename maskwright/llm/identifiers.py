@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 SEEDS, CONFIDENCE = 3, 0.5
 #: Score from which a candidate is one; rounds of scoring.
 ACCEPT, ROUNDS = 0.6, 3
-#: Patterns of each kind that take part: those with most distinct seeds. Bounds what is broadcast.
-PATTERNS = 2000
+#: Bits of the sieve of pattern hashes that is broadcast. What it lets through is joined with the patterns themselves.
+SIEVE_BITS = 26
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -140,29 +141,69 @@ def _extracted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key string, own array<struct<kind:string,start:int,end:int,base:boolean,value:string,patterns:array<string>>>")
 
 
-def _occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """pattern, total: how often each of the patterns occurs in the corpus, whatever follows it."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)  # len(KINDS) * PATTERNS at most
+def _bits(form: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places in the sieve of patterns of one form (1, 2 or 3), by the hashes of their words."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(form)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _hashes(words: Iterable[str]) -> np.ndarray:
+    """Hashes of words; 0 for the empty one, which stands for none."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in words], np.uint64)
+
+
+def _sieve(patterns: DataFrame) -> np.ndarray:
+    """A bitmap in which the place of each pattern is set; its size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, three = ({tuple(p.split(" ")[1:]) for p in shared.value if p[0] == n} for n in "123")
-        single, second, third = {p[0] for p in one}, {p[1] for p in two}, {p[0] for p in three}
-        every = single | second | third
-        sums: Counter = Counter()
         for batch in batches:
+            cut = [p.split(" ") for p in batch.column("pattern").to_pylist()]
+            for form in (1, 2, 3):
+                own = [c for c in cut if c[0] == str(form)]
+                bits = _bits(form, _hashes(c[1] for c in own), _hashes(c[2] if form > 1 else "" for c in own))
+                yield pa.RecordBatch.from_arrays([pa.array(bits + 1, pa.int64())], ["bit"])
+
+    parts = patterns.select("pattern").mapInArrow(run, "bit bigint").groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+    sieve = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+    for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toLocalIterator():
+        sieve[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return sieve
+
+
+def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, total: how often each of the patterns (and some others) occurs in the corpus, whatever follows it."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(patterns))
+
+    def sent(sums: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["pattern", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, sums = shared.value, Counter()
+        for batch in common.slices(batches, "text", 2 << 20):
+            flat: list[str] = []
             for text in batch.column("text").to_pylist():
-                words = text.lower().split() if text else []
-                for i, w in enumerate(words):
-                    if w in every:
-                        if w in single:
-                            sums["1", w] += 1
-                        if i and w in second and (words[i - 1], w) in two:
-                            sums["2", words[i - 1], w] += 1
-                        if w in third:
-                            for after in words[i + 2 : i + 5]:
-                                if (w, after) in three:
-                                    sums["3", w, after] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([" ".join(k) for k in sums], pa.string()), pa.array(list(sums.values()), pa.int64())], ["pattern", "n"])
+                flat += text.lower().split() if text else []
+                flat += [""] * 4  # no pattern reaches over these
+            places = {w: k for k, w in enumerate(dict.fromkeys(["", *flat]))}
+            words, hashes = list(places), _hashes(places)
+            ids = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+            for form, step in ((1, 0), (2, 1), (3, 2), (3, 3), (3, 4)):
+                first, second = ids[: len(ids) - step], ids[step:]
+                if form == 1:
+                    second = np.zeros_like(first)
+                bits = _bits(form, hashes[first], hashes[second])
+                hit = (sieve[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool) & (first > 0) & ((second > 0) | (form == 1))
+                pairs, counts = np.unique(first[hit] * len(words) + second[hit], return_counts=True)
+                for pair, n in zip(pairs.tolist(), counts.tolist(), strict=True):
+                    a, b = divmod(pair, len(words))
+                    sums[f"{form} {words[a]} {words[b]}" if b else f"{form} {words[a]}"] += n
+            if len(sums) > 200_000:
+                yield sent(sums)
+                sums.clear()
+        yield sent(sums)
 
     return docs.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("total"))
 
@@ -171,19 +212,12 @@ def found_values(docs: DataFrame, extracted: DataFrame) -> DataFrame:
     """kind, value, score of the candidates' values, by rounds over the graph of patterns and values."""
     occurrences = extracted.select(F.explode("own").alias("o")).select("o.kind", "o.value", "o.base", F.explode("o.patterns").alias("pattern"))
     edges = occurrences.groupBy("kind", "pattern", "value", "base").agg(F.count("*").alias("n"))
-    support = edges.where("base").groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SEEDS)
-    useful = edges.where("not base").select("kind", "pattern").distinct()
-    chosen: list[tuple[str, str]] = []
-    for kind in KINDS:
-        rows = support.join(useful, ["kind", "pattern"]).where(F.col("kind") == kind).orderBy(F.desc("seeds"), "pattern").limit(PATTERNS)
-        chosen += [(r["kind"], r["pattern"]) for r in rows.collect()]
-    spark = docs.sparkSession
-    kept = spark.createDataFrame(chosen, "kind string, pattern string")
-    totals = _occurrences(docs, sorted({p for _, p in chosen})) if chosen else spark.createDataFrame([], "pattern string, total bigint")
-    graph = common.written(edges.join(kept, ["kind", "pattern"]).join(totals, "pattern"), "graph")
+    support = edges.groupBy("kind", "pattern").agg(F.count_if("base").alias("seeds"), F.count_if(~F.col("base")).alias("others"))
+    kept = common.written(support.where((F.col("seeds") >= SEEDS) & (F.col("others") > 0)).select("kind", "pattern"), "patterns")
+    graph = common.written(edges.join(kept, ["kind", "pattern"]).join(_occurrences(docs, kept), "pattern"), "graph")
     score = F.when(F.col("base"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
-    values = spark.createDataFrame([], "kind string, value string, score double")
-    for _ in range(ROUNDS if chosen else 0):
+    values = docs.sparkSession.createDataFrame([], "kind string, value string, score double")
+    for _ in range(ROUNDS):
         known = graph.join(values, ["kind", "value"], "left")
         patterns = known.groupBy("kind", "pattern").agg((F.sum(score * F.col("n")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
         reached = graph.where("not base").join(patterns, ["kind", "pattern"])

@@ -51,6 +51,32 @@ def test_contexts_find_more_and_leave_others_alone(spark):
     assert I.identifiers(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_every_supported_pattern_takes_part(spark):
+    seed = lambda k: f"+1 555 {k:07d}"
+    label = lambda k: "".join(chr(97 + int(d)) for d in str(k)) + "x"
+    rows = [f"{label(k)} {seed(10 * k + j)}" for k in range(2100) for j in range(4)] + [f"{label(k)} 040 {k:05d}" for k in range(2100)]
+    rows += [f"rare {seed(90000 + j)}" for j in range(3)] + ["rare 030 555 1234"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["all"]] for r in I.identifiers(docs).where(f"doc_id >= {len(rows) - 1} or doc_id between 8400 and 10499").collect()}
+    assert got[len(rows) - 1] == [("phone", 5, 17)] and all(len(s) == 1 for s in got.values()) and len(got) == 2101
+
+
+def test_occurrences_of_patterns_as_counted_plainly(spark):
+    rnd = random.Random(2)
+    words = [f"Wört{k}" for k in range(12)] + ["x" * 50]
+    texts = [None, "", " "] + [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))) for _ in range(300)]
+    want = {}
+    for text in texts:
+        w = (text or "").lower().split()
+        for i in range(len(w)):
+            for p in [f"1 {w[i]}", *([f"2 {w[i - 1]} {w[i]}"] if i else []), *[f"3 {w[i]} {b}" for b in w[i + 2 : i + 5]]]:
+                want[p] = want.get(p, 0) + 1
+    asked = rnd.sample(sorted(want), 200) + ["1 nowhere", "3 not here"]
+    totals = I._occurrences(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in asked], "pattern string"))
+    got = {r["pattern"]: r["total"] for r in totals.collect()}
+    assert {p: got.get(p) for p in asked} == {p: want.get(p) for p in asked}
+
+
 def test_long_runs_of_digits_and_redaction():
     assert I.base_spans("1" * 50_000) == []
     text = "a x@y.zz b"
