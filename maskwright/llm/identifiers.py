@@ -4,7 +4,8 @@ Seeds are what the fixed rules match. The words around them are lexical patterns
 identifier-like string of looser shape is a candidate. Spark scores the graph of
 patterns and values in rounds: a pattern by the share of all its occurrences in the
 corpus that are followed by values known so far, a value by its patterns. Candidates
-whose score reaches ACCEPT are found; seeds always stay.
+whose score reaches ACCEPT are found, and support further patterns as seeds do, until
+nothing changes; seeds always stay.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: A pattern needs that many distinct seeds, and that share of its occurrences to be identifiers.
+#: A pattern needs that many distinct seeds or accepted values, and that share of its occurrences to be identifiers.
 SEEDS, CONFIDENCE = 3, 0.5
-#: Score from which a candidate is one; rounds of scoring.
-ACCEPT, ROUNDS = 0.6, 3
+#: Score from which a candidate is one; rise of scores that asks for another round.
+ACCEPT, SETTLED = 0.6, 1e-6
 #: Bits of the sieve of pattern hashes that is broadcast. What it lets through is joined with the patterns themselves.
 SIEVE_BITS = 26
 
@@ -209,20 +210,28 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def found_values(docs: DataFrame, extracted: DataFrame) -> DataFrame:
-    """kind, value, score of the candidates' values, by rounds over the graph of patterns and values."""
+    """kind, value, score of the candidates' values, by rounds over the graph of patterns and values.
+
+    Each round induces patterns from the seeds and the values accepted so far. Scores
+    only rise from round to round; the rounds end when none rises by more than SETTLED.
+    """
     occurrences = extracted.select(F.explode("own").alias("o")).select("o.kind", "o.value", "o.base", F.explode("o.patterns").alias("pattern"))
     edges = occurrences.groupBy("kind", "pattern", "value", "base").agg(F.count("*").alias("n"))
-    support = edges.groupBy("kind", "pattern").agg(F.count_if("base").alias("seeds"), F.count_if(~F.col("base")).alias("others"))
-    kept = common.written(support.where((F.col("seeds") >= SEEDS) & (F.col("others") > 0)).select("kind", "pattern"), "patterns")
+    most = edges.groupBy("kind", "pattern").agg(F.count("*").alias("values"), F.count_if(~F.col("base")).alias("others"))
+    kept = common.written(most.where((F.col("values") >= SEEDS) & (F.col("others") > 0)).select("kind", "pattern"), "patterns")
     graph = common.written(edges.join(kept, ["kind", "pattern"]).join(_occurrences(docs, kept), "pattern"), "graph")
     score = F.when(F.col("base"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
     values = docs.sparkSession.createDataFrame([], "kind string, value string, score double")
-    for _ in range(ROUNDS):
-        known = graph.join(values, ["kind", "value"], "left")
-        patterns = known.groupBy("kind", "pattern").agg((F.sum(score * F.col("n")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
+    risen = not graph.isEmpty()
+    while risen:
+        known = graph.join(values, ["kind", "value"], "left").withColumn("score", score)
+        trust = (F.sum(F.col("score") * F.col("n")) / F.greatest(F.max("total"), F.sum("n"))).alias("confidence")
+        patterns = known.groupBy("kind", "pattern").agg(trust, F.count_distinct(F.when(F.col("score") >= ACCEPT, F.col("value"))).alias("support")).where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SEEDS))
         reached = graph.where("not base").join(patterns, ["kind", "pattern"])
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        values = common.written(reached.groupBy("kind", "value").agg((1 - doubt).alias("score")), "values")
+        last, values = values, common.written(reached.groupBy("kind", "value").agg((1 - doubt).alias("score")), "values")
+        before = last.withColumnRenamed("score", "before")
+        risen = not values.join(before, ["kind", "value"], "left").where(F.col("score") > F.coalesce("before", F.lit(0.0)) + SETTLED).isEmpty()
     return values
 
 

@@ -61,6 +61,18 @@ def test_every_supported_pattern_takes_part(spark):
     assert got[len(rows) - 1] == [("phone", 5, 17)] and all(len(s) == 1 for s in got.values()) and len(got) == 2101
 
 
+def test_found_values_support_further_patterns(spark):
+    number = lambda k, j: f"030 555 {1000 + 10 * k + j}"
+    labels = ["hotline", "rufnummer", "tel", "fon", "apparat", "durchwahl", "zentrale"]
+    rows = [f"call hotline +1 555 0000{100 + j}" for j in range(30)]
+    for k, label in enumerate(labels):  # the values of each label stand after the next one too, twice
+        rows += [f"my {label} {number(k, j)}" for j in range(3)] + [f"my {after} {number(k, j)}" for after in labels[k + 1 : k + 2] for j in range(3)] * 2
+    rows += [f"price {number(90, j)}" for j in range(5)] + [f"my zentrale {number(80, 0)}", f"price {number(80, 0)}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: len(r["all"]) for r in I.identifiers(docs).collect()}
+    assert {rows[k] for k, n in got.items() if not n} == {f"price {number(90, j)}" for j in range(5)}
+
+
 def test_occurrences_of_patterns_as_counted_plainly(spark):
     rnd = random.Random(2)
     words = [f"Wört{k}" for k in range(12)] + ["x" * 50]
