@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fakes, ner, values
+from ..functions import detectors, fakes, ner, values
 from ..functions.types import NER, containers_of
 from ..operators import detect, plan, propagate, report, rewrite, score
 from ..operators.link import mail_fits_name
@@ -19,7 +19,6 @@ from ..operators.store import stored
 
 SECRET = b"an-example-secret-0123456789"
 TODAY = dt.date(2026, 1, 1)
-STRUCTURED = ("email", "phone", "ssn", "card", "ip", "dob")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -474,11 +473,11 @@ select doc_id, (s + m)::int as start, (s + m + n)::int as "end" from (select l_o
 
 def _plan(spark, sf_dir):
     containers = _documents(spark, sf_dir)
-    return containers, plan.build_plan(containers, SECRET, STRUCTURED, TODAY)
+    return containers, plan.build_plan(containers, SECRET, today=TODAY)
 
 
 def detections_by_type(spark, sf_dir):
-    return report.detections_by_type(_found(_documents(spark, sf_dir), *STRUCTURED))
+    return report.detections_by_type(_found(_documents(spark, sf_dir), *detectors.NAMES))
 
 
 def plan_by_type(spark, sf_dir):
@@ -488,7 +487,7 @@ def plan_by_type(spark, sf_dir):
 
 def leak_classify(spark, sf_dir):
     containers, made = _plan(spark, sf_dir)
-    again = _found(plan.rewritten(containers, made.replacements), *STRUCTURED)
+    again = _found(plan.rewritten(containers, made.replacements), *detectors.NAMES)
     return plan.residuals(again, made.replacements).groupBy("classification", "entity_type").agg(F.count("*").alias("n"))
 
 

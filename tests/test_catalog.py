@@ -38,3 +38,13 @@ def test_query_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(ORACLES)))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() >= 0
+
+
+def test_whole_documents_are_searched_for_all_types(spark, tmp_path):
+    texts = ["CEO: Maya Stone", "This agreement is with Acme Widgets Private Limited today", "Registered Office: 12 Park Street, Mumbai 400001, Maharashtra, India"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    named = {"PERSON", "COMPANY", "ADDRESS"}
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {r["entity_type"] for r in run("detections_by_type") if r["accepted"]} == named
+    assert {r["entity_type"] for r in run("plan_by_type")} == named
+    assert {"PERSON", "ADDRESS"} <= {r["entity_type"] for r in run("leak_classify")} <= named
