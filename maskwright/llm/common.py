@@ -36,14 +36,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written(); call it once no later job reads them. Shuffle files follow when the driver's JVM forgets who made them."""
+    """Deletes tables of written(); call it once no later job reads them."""
     for table in tables:
         jvm = table.sparkSession._jvm
         place = jvm.org.apache.hadoop.fs.Path(table._written_at)
         place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        swept(tables[0].sparkSession)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets go of ended jobs' shuffle files: Spark deletes them once the driver's JVM has found their plans unused."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
