@@ -1,9 +1,9 @@
 """From raw documents to token identifiers in five stages, each one an operator of maskwright.llm.
 
 Each stage works on all that its predecessor kept, and its decisions take effect:
-documents without a language go, lines that match an earlier one go, one document of
-each group of near copies stays, documents that hold a benchmark item go, and what is
-left is encoded.
+documents without a language go, lines that match an earlier one go and with them the
+documents of which no word is left, one document of each group of near copies stays,
+documents that hold a benchmark item go, and what is left is encoded.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their texts without the lines that match an earlier one; n_chars follows the text."""
-    out = lines.without_repeated_lines(docs)
+    """Rows, their texts without the lines that match an earlier one; n_chars follows the text. Rows without a word left go."""
+    out = lines.without_repeated_lines(docs).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
