@@ -10,12 +10,16 @@ anchor, so a key needs one row for about LENGTH / 3 bytes.
 
 1. Windows with one anchor form a context. Equal contexts hold equal windows: all but
    the earliest are removed whole. Those that one batch sees twice never travel.
-2. Anchors with several different contexts are compared in suffix order: within a
-   task, the contexts' suffixes are ranked by prefix doubling, and the previous and
-   next smaller positions among suffixes with equal first LENGTH bytes tell whether
-   the longest previous factor reaches LENGTH.
+2. The several different contexts of an anchor are compared by their suffix array: all
+   their suffixes are ranked by prefix doubling to the contexts' ends; for each window,
+   the nearest suffixes before and after it in that order that start earlier in the
+   corpus (previous and next smaller positions) give its longest previous factor, the
+   larger of the two common prefixes. It goes if that reaches LENGTH.
 3. An anchor with more than HOT contexts is dealt out further, one row for a window,
    and compared with the row before it in order; no task holds such a group.
+
+A start is compared as (doc_id, place): place holds 31 bits of the text's hash above the
+offset, so that different texts under one doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -129,51 +133,52 @@ def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """A row for each context: anchor, content, doc_id, lo, hi; surely_later: an equal one of its batch comes first."""
+    """A row for each context: anchor, content, doc_id, place of its first window, span to the last; later: an equal one of its batch comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", PIECE):
-            ids = batch.column("doc_id").to_numpy()
+            ids, versions = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
             for row, lo, hi, anchor, content in contexts(batch.column("text").cast(pa.binary()).to_pylist()):
-                doc = ids[row]
-                order = np.lexsort((lo, doc, content, anchor))
-                doc, lo, hi, anchor, content = (x[order] for x in (doc, lo, hi, anchor, content))
+                doc, place, span = ids[row], versions[row] << 32 | lo, hi - lo
+                order = np.lexsort((place, doc, content, anchor))
+                doc, place, span, anchor, content = (x[order] for x in (doc, place, span, anchor, content))
                 head = np.ones(len(doc), bool)
                 head[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
                 at = np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))
-                later = (doc != doc[at]) | (lo != lo[at])
-                salt = np.where(later, _mixed((doc * 1_000_003 + lo).view(np.uint64)).view(np.int64), anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (salt, content, doc, lo.astype(np.int32), hi.astype(np.int32), later)], ["anchor", "content", "doc_id", "lo", "hi", "later"])
+                later = (doc != doc[at]) | (place != place[at])
+                salt = np.where(later, _mixed((doc * 1_000_003 + place).view(np.uint64)).view(np.int64), anchor)
+                once = head | later  # not the same row again
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (salt, content, doc, place, span.astype(np.int32), later)], ["anchor", "content", "doc_id", "place", "span", "later"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "anchor bigint, content bigint, doc_id bigint, lo int, hi int, later boolean")
+    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "anchor bigint, content bigint, doc_id bigint, place bigint, span int, later boolean")
 
 
 def _told_apart(anchored: DataFrame) -> DataFrame:
-    """doc_id, lo, hi, anchor: contexts that an equal earlier one removes (anchor null), and the earliest of each of an anchor's several contexts."""
-    dealt = anchored.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "lo")
-    schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("anchor", pa.int64())])
+    """doc_id, place, span, anchor: contexts that an equal earlier one removes (anchor null), and the earliest of each of an anchor's several contexts."""
+    dealt = anchored.repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id", "place")
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("span", pa.int32()), ("anchor", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # anchor, content, doc_id, lo of the context's earliest row so far
+        head = None  # anchor, content, doc_id, place of the context's earliest row so far
         waiting = None  # the last earliest row, if its anchor has no other content yet
         for batch in batches:
-            anchor, content, doc, lo, hi, later = _numbers(batch, "anchor", "content", "doc_id", "lo", "hi", "later")
+            anchor, content, doc, place, span, later = _numbers(batch, "anchor", "content", "doc_id", "place", "span", "later")
             if later.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(lo[later]), pa.array(hi[later]), pa.nulls(int(later.sum()), pa.int64())], schema=schema)
-                anchor, content, doc, lo, hi = (x[~later] for x in (anchor, content, doc, lo, hi))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(place[later]), pa.array(span[later]), pa.nulls(int(later.sum()), pa.int64())], schema=schema)
+                anchor, content, doc, place, span = (x[~later] for x in (anchor, content, doc, place, span))
             if not len(anchor):
                 continue
             new = np.ones(len(anchor), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
             at = np.maximum.accumulate(np.where(new, np.arange(len(anchor)), 0))
-            first_doc, first_lo = doc[at].copy(), lo[at].copy()
+            first_doc, first_place = doc[at].copy(), place[at].copy()
             if head and head[:2] == (anchor[0], content[0]):
                 new[0] = False
-                first_doc[at == 0], first_lo[at == 0] = head[2:]
-            gone = (doc != first_doc) | (lo != first_lo)
-            head = (anchor[-1], content[-1], first_doc[-1], first_lo[-1])
+                first_doc[at == 0], first_place[at == 0] = head[2:]
+            gone = (doc != first_doc) | (place != first_place)
+            head = (anchor[-1], content[-1], first_doc[-1], first_place[-1])
             heads = np.flatnonzero(new)
-            own = [np.concatenate([[w], x[heads]]) if waiting else x[heads] for w, x in zip((waiting or (None,) * 4)[:4], (doc, lo, hi, anchor), strict=True)]
+            own = [np.concatenate([[w], x[heads]]) if waiting else x[heads] for w, x in zip((waiting or (None,) * 4)[:4], (doc, place, span, anchor), strict=True)]
             sent = bool(waiting and waiting[4])
             several = np.zeros(len(own[3]), bool)
             same = own[3][1:] == own[3][:-1]
@@ -186,15 +191,16 @@ def _told_apart(anchored: DataFrame) -> DataFrame:
                     several[0] = False
             keep = np.flatnonzero(several)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([doc[gone], own[0][keep]]).astype(np.int64)), pa.array(np.concatenate([lo[gone], own[1][keep]]).astype(np.int32)), pa.array(np.concatenate([hi[gone], own[2][keep]]).astype(np.int32)), pa.concat_arrays([pa.nulls(int(gone.sum()), pa.int64()), pa.array(own[3][keep].astype(np.int64))])],
+                [pa.array(np.concatenate([doc[gone], own[0][keep]]).astype(np.int64)), pa.array(np.concatenate([place[gone], own[1][keep]]).astype(np.int64)), pa.array(np.concatenate([span[gone], own[2][keep]]).astype(np.int32)), pa.concat_arrays([pa.nulls(int(gone.sum()), pa.int64()), pa.array(own[3][keep].astype(np.int64))])],
                 schema=schema,
             )
 
-    return dealt.mapInArrow(run, "doc_id bigint, lo int, hi int, anchor bigint")
+    return dealt.mapInArrow(run, "doc_id bigint, place bigint, span int, anchor bigint")
 
 
-_PARTS = "key bigint, second bigint, doc_id bigint, lo int, context binary, spans binary"
-_PARTS_ARROW = pa.schema([("key", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("context", pa.binary()), ("spans", pa.binary())])
+_PARTS = "key bigint, second bigint, doc_id bigint, place bigint, context binary, spans binary"
+_PARTS_ARROW = pa.schema([("key", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("context", pa.binary()), ("spans", pa.binary())])
+_OFFSET = (1 << 32) - 1
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -211,86 +217,130 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 def _parts(docs: DataFrame, told: DataFrame) -> DataFrame:
     """For each document with something to remove or compare: its removed spans, the contexts to compare, or (hot anchors) the windows."""
-    listed = told.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor", "hot")).alias("own"))
+    listed = told.groupBy("doc_id", F.shiftright("place", 32).alias("version")).agg(F.collect_list(F.struct(F.col("place").bitwiseAND(F.lit(_OFFSET)).cast("int").alias("lo"), "span", "anchor", "hot")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        last = None
         for batch in common.slices(batches, "text", PIECE):
             rows: list[tuple] = []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             lists = batch.column("own")
             flat, bounds = lists.flatten(), lists.offsets.to_numpy()
-            lo, hi = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            lo = flat.field(0).to_numpy().astype(np.int64)
+            hi = lo + flat.field(1).to_numpy()
             anchor, hot = flat.field(2), flat.field(3).to_numpy(zero_copy_only=False)
             to_compare = anchor.is_valid().to_numpy(zero_copy_only=False)
             anchor = anchor.fill_null(0).to_numpy()
             bounds = bounds - bounds[0]
-            for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts, strict=True)):
+            for k, (doc, version, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), texts, strict=True)):
+                if last == (doc, version):  # the same row again
+                    continue
+                last, base = (doc, version), version << 32
                 here = slice(bounds[k], bounds[k + 1])
                 gone = ~to_compare[here]
                 later = [np.stack([lo[here][gone], hi[here][gone] + LENGTH], axis=1)]
                 for j in bounds[k] + np.flatnonzero(~gone):
                     if not hot[j]:
-                        rows.append((int(anchor[j]), 0, doc, int(lo[j]), text[lo[j] : hi[j] + LENGTH], None))
+                        rows.append((int(anchor[j]), 0, doc, base | int(lo[j]), text[lo[j] : hi[j] + LENGTH], None))
                         continue
                     for p in range(lo[j], hi[j] + 1):
                         both = xxhash.xxh3_128_intdigest(text[p : p + LENGTH])
                         two = ((both >> 64) - (1 << 63), (both & (1 << 64) - 1) - (1 << 63))
-                        rows.append((*two, doc, p, None, None))
+                        rows.append((*two, doc, base | int(p), None, None))
                 spans = _merged(np.concatenate(later))
                 if len(spans):
-                    rows.append((hash((doc, len(spans))), 0, doc, -1, None, spans.astype(np.int64).tobytes()))
+                    rows.append((hash((doc, version)), 0, doc, base, None, spans.astype(np.int64).tobytes()))
             for at in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), _PARTS_ARROW, strict=True)], schema=_PARTS_ARROW)
 
-    return docs.join(listed, "doc_id").select("doc_id", "text", "own").mapInArrow(run, _PARTS)
-
-
-def repeated(strings: list[bytes], doc: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
-    """For each string, which of its windows of LENGTH bytes starts earlier too: the longest previous factor reaches LENGTH.
-
-    doc and lo: where each string starts. Positions are compared as (doc, offset).
+    return docs.join(listed, ["doc_id", "version"]).select("doc_id", "version", "text", "own").mapInArrow(run, _PARTS)
+
+
+class Suffixes:
+    """The suffix array of several strings: every suffix ends where its string ends, and a suffix that is a prefix of another comes first."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        sizes = np.array([len(s) for s in strings], np.int64)
+        self.begins = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        n = len(data)
+        left = np.repeat(self.begins + sizes, sizes) - np.arange(n)  # bytes to the string's end
+        # Ranks of the first 4 bytes (a byte counts from 1, what lies beyond the end is 0), then of twice as many each time.
+        words = np.zeros(n, np.uint64)
+        for k in range(4):
+            own = np.zeros(n, np.uint64)
+            own[: n - k] = data[k:].astype(np.uint64) + np.uint64(1)
+            words = words << np.uint64(9) | np.where(left > k, own, np.uint64(0))
+        self.levels = [(4, np.unique(words, return_inverse=True)[1].astype(np.int64) + 1)]
+        longest = int(sizes.max(initial=0))
+        while self.levels[-1][0] < longest:
+            covered, rank = self.levels[-1]
+            beyond = np.zeros(n, np.int64)
+            beyond[: max(0, n - covered)] = rank[covered:]
+            pair = rank * np.int64(n + 2) + np.where(left > covered, beyond, 0)
+            self.levels.append((2 * covered, np.unique(pair, return_inverse=True)[1].astype(np.int64) + 1))
+        self.left = left
+        self.data = data
+
+    def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at a and at b."""
+        found = np.zeros(len(a), np.int64)
+        most = np.minimum(self.left[a], self.left[b])
+        for covered, rank in reversed(self.levels):
+            # Equal ranks of suffixes that both reach so far mean that many equal bytes.
+            fits = found + covered <= most
+            same = fits & (rank[np.where(fits, a + found, 0)] == rank[np.where(fits, b + found, 0)])
+            found += covered * same
+        for _ in range(3):
+            fits = found < most
+            found += fits & (self.data[np.where(fits, a + found, 0)] == self.data[np.where(fits, b + found, 0)])
+        return found
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it that holds less, or -1. Unsettled places jump along what is known, all at once."""
+    known = np.arange(len(values)) - 1
+    active = np.arange(len(values))
+    while len(active):
+        active = active[(known[active] >= 0) & (values[np.maximum(known[active], 0)] >= values[active])]
+        known[active] = known[known[active]]
+    return known
+
+
+def longest_previous_factors(strings: list[bytes], doc: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """For each string and each of its windows of LENGTH bytes: the longest prefix of the suffix there that also starts earlier in some string.
+
+    doc and place: where each string starts; starts are compared as (doc, place).
     """
-    sizes = np.array([len(s) for s in strings], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(strings) + b"\0" * LENGTH, np.uint8)
-    n = len(data) - LENGTH
-    # Ranks of the first 8 bytes, then of 16, 32 and 64 by doubling, then of LENGTH.
-    words = np.zeros(n + LENGTH - 7, np.uint64)
-    for k in range(8):
-        words = words << np.uint64(8) | data[k : k + len(words)]
-    rank, covered = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
-    while covered < LENGTH:
-        step = min(covered, LENGTH - covered)
-        pair = rank[: len(rank) - step] * np.int64(len(rank) + 1) + rank[step:]
-        rank, covered = np.unique(pair, return_inverse=True)[1].astype(np.int64), covered + step
-    # The windows in suffix order, equal ones in any order; a window's position is its place among all.
-    counts = sizes - LENGTH + 1
+    suffixes = Suffixes(strings)
+    counts = np.array([len(s) for s in strings], np.int64) - LENGTH + 1
     of = np.repeat(np.arange(len(strings)), counts)
     inner = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place = np.empty(len(of), np.int64)
-    by_place = np.lexsort((lo[of] + inner, doc[of]))
-    d, p = doc[of][by_place], (lo[of] + inner)[by_place]
+    at = suffixes.begins[of] + inner
+    # A window's number in the corpus' order; the same start may be there twice.
+    by_start = np.lexsort((place[of] + inner, doc[of]))
+    d, p = doc[of][by_start], (place[of] + inner)[by_start]
     fresh = np.ones(len(of), np.int64)
     fresh[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1])
-    place[by_place] = np.cumsum(fresh)
-    rank = rank[begins[of] + inner]
-    order = np.argsort(rank, kind="stable")
-    run = np.cumsum(np.append(0, np.diff(rank[order]) != 0))
-    # Previous and next smaller positions among equal suffixes exist where the running minimum from that side is smaller.
-    wide = np.int64(len(of) + 2)
-    before = np.minimum.accumulate(place[order] - run * wide)
-    after = np.minimum.accumulate((place[order] + run * wide)[::-1])[::-1]
-    earlier = np.zeros(len(of), bool)
-    earlier[order] = (before < place[order] - run * wide) | (after < place[order] + run * wide)
-    return np.split(earlier, np.cumsum(counts)[:-1])
+    number = np.empty(len(of), np.int64)
+    number[by_start] = np.cumsum(fresh)
+    order = np.argsort(suffixes.levels[-1][1][at], kind="stable")  # the windows in suffix order
+    in_order = number[order]
+    factor = np.zeros(len(of), np.int64)
+    before = previous_smaller(in_order)
+    after = len(order) - 1 - previous_smaller(in_order[::-1])[::-1]
+    for near, there in ((before, before >= 0), (after, after < len(order))):
+        mine = order[there]
+        factor[mine] = np.maximum(factor[mine], suffixes.common_prefix(at[mine], at[order[near[there]]]))
+    return np.split(factor, np.cumsum(counts)[:-1])
 
 
 def _compared(parts: DataFrame) -> DataFrame:
     """doc_id and removed spans, from parts dealt out by key."""
-    dealt = parts.repartition("key").sortWithinPartitions("key", "second", "doc_id", "lo")
-    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
+    dealt = parts.repartition("key").sortWithinPartitions("key", "second", "doc_id", "place")
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("spans", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -298,53 +348,55 @@ def _compared(parts: DataFrame) -> DataFrame:
         window = None
 
         def sort_out() -> list[tuple]:
-            doc, lo = (np.array([h[k] for h in held], np.int64) for k in (1, 2))
+            doc, place = (np.array([h[k] for h in held], np.int64) for k in (1, 2))
             found = []
-            for (_, d, start, context), flags in zip(held, repeated([h[3] for h in held], doc, lo), strict=True):
-                at = start + np.flatnonzero(flags)
+            for (_, d, start, context), factors in zip(held, longest_previous_factors([h[3] for h in held], doc, place), strict=True):
+                at = (start & _OFFSET) + np.flatnonzero(factors >= LENGTH)
                 if len(at):
-                    found.append((d, _merged(np.stack([at, at + LENGTH], axis=1)).astype(np.int64).tobytes()))
+                    found.append((d, start >> 32, _merged(np.stack([at, at + LENGTH], axis=1)).astype(np.int64).tobytes()))
             return found
 
         for batch in batches:
             out: list[tuple] = []
-            for key, second, doc, lo, context, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, second, doc, place, context, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if spans is not None:
-                    out.append((doc, spans))
+                    out.append((doc, place >> 32, spans))
                 elif context is not None:
                     if size > SORTED and key != held[-1][0]:
                         out += sort_out()
                         held, size = [], 0
-                    held.append((key, doc, lo, context))
+                    held.append((key, doc, place, context))
                     size += len(context)
                 else:
                     if window and window[:2] == (key, second):
-                        if window[2:] != (doc, lo):
-                            out.append((doc, np.array([lo, lo + LENGTH], np.int64).tobytes()))
+                        if window[2:] != (doc, place):
+                            at = place & _OFFSET
+                            out.append((doc, place >> 32, np.array([at, at + LENGTH], np.int64).tobytes()))
                     else:
-                        window = (key, second, doc, lo)
+                        window = (key, second, doc, place)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         if held and (out := sort_out()):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return dealt.mapInArrow(run, "doc_id bigint, spans binary")
+    return dealt.mapInArrow(run, "doc_id bigint, version bigint, spans binary")
 
 
 def without_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) kept, the remaining bytes, of every row of docs.
 
     A null text counts as empty. A null doc_id's row is left whole and removes nothing
-    elsewhere. Rows that repeat a doc_id are one document and should repeat its text:
-    they do not remove each other. Other columns are not read.
+    elsewhere. Rows that repeat a doc_id and text are one document: they do not remove
+    each other. Different texts under one doc_id are documents in the order of their
+    hashes. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("version"), "text")
     told = common.written(_told_apart(_anchored(docs)), "told")
     hot = told.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    compared = told.where("anchor is not null").join(hot, "anchor", "left").select("doc_id", "lo", "hi", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
+    compared = told.where("anchor is not null").join(hot, "anchor", "left").select("doc_id", "place", "span", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     told = compared.union(told.where("anchor is null").withColumn("hot", F.lit(False)))
     removed = _compared(_parts(docs, told))
-    listed = removed.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    listed = removed.groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", PIECE):
@@ -362,7 +414,7 @@ def without_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * text)
 
-    return docs.join(listed, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * text)
+    return docs.join(listed, ["doc_id", "version"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * text)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,52 @@ def test_same_as_brute_force(spark, monkeypatch, seed, hot, piece):
     assert got == brute(rows)
 
 
+def factors(strings, doc, place):
+    """Longest previous factors by comparing every pair of windows."""
+    starts = [(d, p + k, s[k:]) for s, d, p in zip(strings, doc, place, strict=True) for k in range(len(s) - suffix.LENGTH + 1)]
+    prefix = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    return [max((prefix(s, t) for e, q, t in starts if (e, q) < (d, p)), default=0) for d, p, s in starts]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_longest_previous_factors(seed):
+    rnd = random.Random(seed)
+    pool = bytes(rnd.choice(b"ab\0") for _ in range(400)) + b"a" * 200
+    strings = [pool[a : a + rnd.randint(100, 150)] for a in (rnd.randint(0, 450) for _ in range(25))]
+    strings = [s for s in strings if len(s) >= 100] + [b"a" * 100, b"a" * 160, pool[:100]]
+    doc, place = np.array([rnd.randint(1, 6) for _ in strings]), np.array([1000 * rnd.randint(0, 40) for _ in strings])
+    # Equal starts hold equal texts.
+    place += np.arange(len(strings)) * 100_000
+    got = np.concatenate(suffix.longest_previous_factors(strings, doc, place)).tolist()
+    assert got == factors(strings, doc.tolist(), place.tolist())
+
+
+@pytest.mark.parametrize("values", [[3, 1, 2, 2, 5, 4, 0, 0], list(range(50)), list(range(50, 0, -1)), [7], []])
+def test_previous_smaller(values):
+    want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+    assert suffix.previous_smaller(np.array(values, np.int64)).tolist() == want
+
+
+def test_several_texts_under_one_doc_id(spark):
+    rnd = random.Random(3)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = make(400)
+    rows = [(1, make(150) + shared), (1, shared[:180]), (1, shared[:180]), (2, make(30) + shared), (2, "short"), (3, None), (3, shared)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    kept_first = [(1, 180, 0), (1, 180, 0), (1, 550, 180)]
+    kept_second = [(1, 180, 180), (1, 180, 180), (1, 550, 0)]
+    assert got[:3] in (kept_first, kept_second)
+    assert got[3:] == [(2, 5, 0), (2, 430, 400), (3, 0, 0), (3, 400, 400)]
+
+
+def test_long_texts(spark):
+    """Equal halves of a long text, and a long text of one byte."""
+    rnd = random.Random(4)
+    half = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(1_500_000))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.without_repeats(spark.createDataFrame([(1, half + "#" + half), (2, "a" * 300_000), (3, half[5:200])], "doc_id bigint, text string")).collect()}
+    assert got == {1: 1_500_000, 2: 299_999, 3: 195}
+
+
 def test_rows_of_one_doc_id_null_ids_and_empty_table(spark):
     text = "".join(chr(97 + k * k % 23) for k in range(300))
     docs = spark.createDataFrame([(1, text, "x"), (1, text, "y"), (2, text, "z"), (None, text, "w")], "doc_id bigint, text string, lo string")
