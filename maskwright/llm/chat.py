@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -47,6 +47,9 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 #: Strings that are broken up inside texts. Every mark begins with the first.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
+#: Characters of a text that go into a record's JSON; Spark's parser ends somewhat later.
+MOST_JSON = 10_000_000
+
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -110,31 +113,22 @@ def formatted(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n"), escaped(t["text"]), F.lit(END))), "")
 
 
-def segments(output: Column) -> Column:
-    """What stands between the marks of a formatted string: arrays of head (encoded role) and body (escaped text)."""
-    raw = F.slice(F.split(output, "<\\|im_start\\|>", -1), 2, 2**31 - 2)
-    head = lambda s: F.substring_index(s, "\n", 1)
-    body = lambda s: F.substr(s, F.length(head(s)) + 2, F.length(s) - F.length(head(s)) - F.lit(1 + len(END)))
-    return F.transform(raw, lambda s: F.struct(head(s).alias("head"), body(s).alias("body")))
-
-
-def read_back(segment: Column) -> Column:
-    """Turns from segments."""
-    return F.transform(segment, lambda s: F.struct(F.url_decode(s["head"]).alias("role"), unescaped(s["body"]).alias("text")))
-
+def pieces(output: DataFrame) -> DataFrame:
+    """conv_id, at (number of the turn), start (of its mark in the formatted string, in code points), head (encoded role), body (escaped text) and piece (what follows the mark)."""
+    raw = F.slice(F.split("formatted", "<\\|im_start\\|>", -1), 2, 2**31 - 2)
+    cut = output.select("conv_id", F.posexplode(raw).alias("at", "piece"))
+    head = F.substring_index("piece", "\n", 1)
+    cut = cut.withColumn("head", head).withColumn("size", F.length("piece") + len(START))
+    cut = cut.withColumn("body", F.substr("piece", F.length("head") + 2, F.col("size") - F.length("head") - F.lit(1 + len(START) + len(END))))
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("bigint"))
 
-def loss_spans(segment: Column) -> Column:
-    """(start, end) in code points of the formatted string, of each assistant text as it stands there (escaped)."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def step(state: Column, s: Column) -> Column:
-        start = state["at"] + F.lit(len(START) + 1) + F.length(s["head"])
-        end = start + F.length(s["body"])
-        span = F.struct(start.alias("start"), end.alias("end"))
-        spans = F.when(s["head"] == _ASSISTANT, F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((end + F.lit(len(END))).alias("at"), spans.alias("spans"))
-
-    return F.aggregate(segment, zero, step)["spans"]
+def loss_mask(cut: DataFrame) -> DataFrame:
+    """pieces with loss_start and loss_end: where the formatted string holds an assistant's text, escaped as it stands; null in other turns."""
+    begin = F.col("start") + F.lit(len(START) + 1) + F.length("head")
+    learned = F.col("head") == _ASSISTANT
+    return cut.withColumn("loss_start", F.when(learned, begin)).withColumn("loss_end", F.when(learned, begin + F.length("body")))
 
 
 def conversations(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -143,20 +137,35 @@ def conversations(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) ->
     Records are put together by conv_id in the order of turn, then of their turns'
     places; ties go by role and text. Records of no known layout add nothing; a
     conversation of nothing else does not appear. A null conv_id is one of its own.
-    Repeated rows repeat their turns. Other columns are not read.
+    Repeated rows repeat their turns. JSON strings end at MOST_JSON characters: a longer
+    text stands in the column long_text, where there is one, and takes the place of its
+    record's last text. Other columns are not read.
     """
-    turns = records.select("conv_id", "turn", F.posexplode(canonical_turns(F.col("payload"), layouts)).alias("place", "t"))
-    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "place", "t.role", "t.text"))).alias("turns"))
+    long_text = F.col("long_text") if "long_text" in records.columns else F.lit(None).cast("string")
+    found = canonical_turns(F.col("payload"), layouts)
+    turns = records.select("conv_id", "turn", long_text.alias("long_text"), F.posexplode(found).alias("place", "t"), F.size(found).alias("of"))
+    text = F.when(F.col("place") == F.col("of") - 1, F.coalesce("long_text", "t.text")).otherwise(F.col("t.text"))
+    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "place", "t.role", text.alias("text")))).alias("turns"))
     return ordered.select("conv_id", formatted(F.col("turns")).alias("formatted"))
 
 
 def digests(output: DataFrame) -> DataFrame:
-    """What the formatted strings hold, read back from them alone."""
-    cut = output.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), segments(F.col("formatted")).alias("segments"))
-    back = cut.select("*", read_back(F.col("segments")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == _ASSISTANT), lambda t: t["text"]), "")
-    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    """What the formatted strings hold, read back from them alone; the loss is cut out by its mask.
+
+    loss_spans: the mask, as start:end of each assistant's text, joined by commas.
+    """
+    cut = loss_mask(pieces(output))
+    learned = F.substr("piece", (F.col("loss_start") - F.col("start") + F.lit(1 - len(START))).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    line = F.concat(F.url_decode("head"), F.lit("\n"), unescaped(F.col("body")), F.lit("\n"))
+    turn = F.struct("at", line.alias("line"), unescaped(learned).alias("loss"), F.concat_ws(":", "loss_start", "loss_end").alias("span"), F.col("loss_start").isNotNull().alias("own"))
+    back = cut.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum("size").alias("formatted_chars"))
+    owned = F.filter("turns", lambda t: t["own"])
+    loss = F.array_join(F.transform(owned, lambda t: t["loss"]), "")
+    lines = F.array_join(F.transform("turns", lambda t: t["line"]), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("bigint").alias("formatted_chars"), F.array_join(F.transform(owned, lambda t: t["span"]), ",").alias("loss_spans"),
+    )
 
 
 _TRIAL = "</s>[INST] ok [/INST]"
@@ -164,9 +173,10 @@ _TRIAL = "</s>[INST] ok [/INST]"
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    payload = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content")))
-    records = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), payload.alias("payload"))
-    trial = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.to_json(F.struct(F.lit(_TRIAL).alias("prompt"), F.lit(_TRIAL).alias("completion"))).alias("payload"))
+    long = F.length("text") > MOST_JSON
+    payload = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.when(long, "").otherwise(F.coalesce("text", F.lit(""))).alias("content")))
+    records = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), payload.alias("payload"), F.when(long, F.col("text")).alias("long_text"))
+    trial = spark.range(1).select(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.to_json(F.struct(F.lit(_TRIAL).alias("prompt"), F.lit(_TRIAL).alias("completion"))).alias("payload"), F.lit(None).cast("string").alias("long_text"))
     return digests(conversations(records.union(trial)))
 
 
@@ -181,11 +191,16 @@ ORACLE = f"""
 with turns as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
     union all select -1, 0, 'user', '{_TRIAL}' union all select -1, 1, 'assistant', '{_TRIAL}'
+), sized as (
+    select *, {len(START) + 1} + length(url_encode(role)) as lead, length({_escaped_sql('text')}) as body from turns
+), placed as (
+    select *, coalesce(sum(lead + body + {len(END)}) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) + lead as here from sized
 )
 select conv_id, count(*) as n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
     cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-    cast(sum({len(START) + 1 + len(END)} + length(url_encode(role)) + length({_escaped_sql('text')})) as bigint) as formatted_chars
-from turns group by conv_id
+    cast(sum(lead + body + {len(END)}) as bigint) as formatted_chars,
+    coalesce(string_agg(cast(here as varchar) || ':' || cast(here + body as varchar), ',' order by turn, role, text) filter (where role = 'assistant'), '') as loss_spans
+from placed group by conv_id
 """

@@ -40,12 +40,32 @@ def test_round_trip_of_hostile_texts(spark):
         rows += [(conv, k, json.dumps({"role": r, "content": t}), "x") for k, (r, t) in enumerate(turns)]
     rnd.shuffle(rows)
     out = chat.conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, payload string, formatted string"))
-    cut = out.select("conv_id", "formatted", chat.segments(F.col("formatted")).alias("s")).select("*", chat.read_back(F.col("s")).alias("turns"), chat.loss_spans(F.col("s")).alias("spans"), chat.unescaped(F.col("formatted")).alias("u"))
+    undo = lambda t: __import__("re").sub(r"(?s)\\(.)", r"\1", t)
+    formatted = {r["conv_id"]: r["formatted"] for r in out.collect()}
+    cut = chat.loss_mask(chat.pieces(out)).select("*", F.url_decode("head").alias("role"), chat.unescaped(F.col("body")).alias("text"))
+    got = {}
     for r in cut.collect():
-        assert [tuple(t) for t in r["turns"]] == want[r["conv_id"]]
-        texts = [r["formatted"][s["start"] : s["end"]] for s in r["spans"]]
-        undo = lambda t: __import__("re").sub(r"(?s)\\(.)", r"\1", t)
-        assert [undo(t) for t in texts] == [t for role, t in want[r["conv_id"]] if role == "assistant"]
+        got.setdefault(r["conv_id"], []).append((r["at"], r["role"], r["text"]))
+        if r["role"] == "assistant":
+            assert undo(formatted[r["conv_id"]][r["loss_start"] : r["loss_end"]]) == r["text"]
+        else:
+            assert r["loss_start"] is None
+    assert {k: [t[1:] for t in sorted(v)] for k, v in got.items()} == want
+    import hashlib
+
+    for r in chat.digests(out).collect():
+        loss = "".join(t for role, t in want[r["conv_id"]] if role == "assistant")
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and r["formatted_chars"] == len(formatted[r["conv_id"]])
+        spans = [tuple(map(int, p.split(":"))) for p in r["loss_spans"].split(",") if p]
+        assert "".join(undo(formatted[r["conv_id"]][a:b]) for a, b in spans) == loss
+
+
+def test_texts_beyond_the_json_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chat, "MOST_JSON", 50)
+    rows = [(1, 0, "user", "short"), (1, 1, "assistant", "long text </s> " * 10), (2, 0, "user", "y" * 51)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.op2_chat_formatting(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 150), 2: (1, 0), -1: (2, 21)}
 
 
 @pytest.mark.parametrize("sf", ["sf0.001"])
