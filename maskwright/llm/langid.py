@@ -45,20 +45,20 @@ class Model(NamedTuple):
 
 
 @lru_cache(maxsize=1)
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: is it a letter (or a mark within a word), and its script's number."""
-    letter = np.zeros(0x110000, bool)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: is it a letter, is it a mark (part of a word that has letters), and its script's number."""
+    letter, mark = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
     for cp in range(0x32000):
-        letter[cp] = unicodedata.category(chr(cp))[0] in "LM"
+        kind = unicodedata.category(chr(cp))[0]
+        letter[cp], mark[cp] = kind == "L", kind == "M"
     script = np.zeros(0x110000, np.int8)
     for start, name in zip(SCRIPT_STARTS, SCRIPT_NAMES, strict=True):
         script[start:] = SCRIPTS.index(name)
-    return letter, script
+    return letter, mark, script
 
 
 def has_letter(text: str) -> bool:
-    letter, _ = _letters()
-    return bool(letter[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+    return bool(_letters()[0][np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
 
 
 class Words(NamedTuple):
@@ -73,12 +73,12 @@ class Words(NamedTuple):
 
 
 def split(texts: list[str]) -> Words:
-    letter, script = _letters()
+    letter, mark, script = _letters()
     lowered = [t if len(low := t.lower()) != len(t) else low for t in texts]
     sizes = np.array([len(t) for t in lowered], np.int64)
     begins = np.cumsum(sizes + 1) - sizes  # one mark before each text
     flat = np.frombuffer(("\0" + "\0".join(lowered) + "\0").encode("utf-32-le"), np.uint32)
-    inside = letter[flat]
+    inside = letter[flat] | mark[flat]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     first, last = edges[::2], edges[1::2]
     marked = np.where(inside, flat, 0).astype(np.uint64)
@@ -86,8 +86,10 @@ def split(texts: list[str]) -> Words:
     mixed = marked[at - 1] * np.uint64(0x9E3779B97F4A7C15) + marked[at] * np.uint64(0xC2B2AE3D27D4EB4F) + marked[at + 1] * np.uint64(0x165667B19E3779F9)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    doc = np.searchsorted(begins, first, side="right") - 1
     size = last - first
+    lettered = np.add.reduceat(letter[flat[at]].astype(np.int64), np.cumsum(size) - size) > 0 if len(size) else np.zeros(0, bool)
+    mixed, first, size = mixed[np.repeat(lettered, size)], first[lettered], size[lettered]  # marks alone are no word
+    doc = np.searchsorted(begins, first, side="right") - 1
     return Words(doc, first - begins[doc] if len(begins) else first, size, (mixed >> np.uint64(48)).astype(np.int64), np.cumsum(size) - size, script[flat[first]])
 
 
@@ -131,7 +133,7 @@ def label(model: Model, texts: list[str], switch: float = SWITCH) -> tuple[Words
     words = split(texts)
     n = len(words.doc)
     if not n:
-        return words, np.zeros(0, np.int8)
+        return words, np.zeros(0, np.int16)
     scores = np.add.reduceat(model.logp[words.grams], words.first, axis=0).astype(np.float32)
     allowed = model.uses[words.script]
     allowed |= ~allowed.any(axis=1, keepdims=True)
@@ -143,8 +145,8 @@ def label(model: Model, texts: list[str], switch: float = SWITCH) -> tuple[Words
     longest = int(lengths[order[0]])
     active = np.searchsorted(-lengths[order], -np.arange(longest), side="left")
     best = np.zeros((len(texts), len(model.langs)), np.float32)
-    back = np.zeros((n, len(model.langs)), np.int8)
-    own = np.arange(len(model.langs), dtype=np.int8)
+    back = np.zeros((n, len(model.langs)), np.int16)
+    own = np.arange(len(model.langs), dtype=np.int16)
     for step in range(longest):
         m = active[step]
         rows = begins[:m] + step
@@ -157,7 +159,7 @@ def label(model: Model, texts: list[str], switch: float = SWITCH) -> tuple[Words
             best[:m] = np.where(stay, reached, changed[:, None]) + scores[rows]
         else:
             best[:m] = scores[rows]
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int16)
     now = best.argmax(axis=1)
     for step in range(longest - 1, -1, -1):
         m = active[step]

@@ -110,3 +110,14 @@ def test_unusable_rows_and_no_training_rows(spark):
     assert sorted((r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, model).collect()) == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en")]
     assert sorted(r["doc_id"] for r in langid.keep_identified(docs, model).collect()) == [4, 4]
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_marks_alone_are_no_language_and_many_languages_keep_their_numbers(spark):
+    assert not langid.has_letter("́ं 12") and langid.has_letter("é")
+    rows = [(k, " ".join(chr(97 + (k + j * (k // 26 + 1)) % 26) * 3 for j in range(30)), f"l{k:03d}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 200
+    _, path = langid.label(model, [r[1] for r in rows])
+    assert path.min() >= 0 and path.max() > 127
+    assert langid.predict(model, ["́ं", "abc ́", None])[0][0] == langid.UNDETERMINED
