@@ -87,8 +87,9 @@ def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, see
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (array<float>) of the rows that take part."""
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    """vec_id, embedding (array<float>, or of double where the table has other numbers) of the rows that take part."""
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
 
@@ -108,11 +109,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE)
     """
     spark = vectors.sparkSession
     usable = _usable(vectors)
+    real = np.float32 if usable.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
     lengths = usable.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim, rows = lengths[0] if lengths else (1, 0)
     usable = usable.where(F.size("embedding") == dim)
     drawn = usable.where(F.pmod(F.xxhash64("vec_id", F.lit("forest")), F.lit(max(1, rows))) < SAMPLE).select("embedding").orderBy("vec_id").collect()
-    forest = fit(np.array([r[0] for r in drawn], np.float32).reshape(len(drawn), dim), rows)
+    forest = fit(np.array([r[0] for r in drawn], real).reshape(len(drawn), dim), rows)
     shared = spark.sparkContext.broadcast(tuple(forest))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix, ids = _matrix(batch).astype(np.float32), batch.column("vec_id").to_numpy()
+            matrix, ids = _matrix(batch), batch.column("vec_id").to_numpy()
             raw = pa.array([row.tobytes() for row in matrix], pa.binary())
             salt = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for tree in range(len(own.normals)):
@@ -153,7 +155,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE)
             if not batch.num_rows:
                 continue
             rows = []
-            for vec_id, vector in zip(batch.column("vec_id").to_pylist(), _matrix(batch).astype(np.float32), strict=True):
+            for vec_id, vector in zip(batch.column("vec_id").to_pylist(), _matrix(batch), strict=True):
                 raw, block = vector.tobytes(), (vec_id // 20) % blocks
                 rows += [(tree, leaf, part, block, vec_id, raw) for tree, leaf in own.visited(vector, share) for part in range(parts.value[tree, leaf])]
             for at in range(0, len(rows), 50_000):
@@ -162,7 +164,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, share: float = SHARE)
     def rank(asking: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple[int, list[dict]]] = []
         if asking.num_rows and held.num_rows:
-            of = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float32).reshape(t.num_rows, dim).astype(np.float64)
+            of = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), real).reshape(t.num_rows, dim).astype(np.float64)
             if held.num_rows > len(distinct := dict.fromkeys(zip(held.column("vec_id").to_pylist(), held.column("vector").to_pylist(), strict=True))):
                 held = pa.table([pa.array(c, t) for c, t in zip(zip(*distinct, strict=True), _TYPES[4:], strict=True)], _NAMES[4:])
             ids, vectors_of, asked_of = held.column("vec_id").to_numpy(), of(held), of(asking)

@@ -46,3 +46,10 @@ def test_ties_repeats_and_unusable_rows(spark):
     assert found(spark, []) == {}
     assert found(spark, [(0, [1.0, 1.0])]) == {}
     assert found(spark, [(0, [1.0, 1.0]), (1, [0.5, 0.0])]) == {0: [(1, 0.5)]}
+
+
+def test_double_vectors_are_scored_as_they_are(spark):
+    rows = [(0, [1.0 + 1e-12, 0.0]), (1, [1e300, 1.0]), (2, [1.0, 1e-30]), (3, [-1e300, 0.0])]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id bigint, embedding array<double>, rank string, score int")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in sorted(neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).collect())]
+    assert got == [(1, 1, (1.0 + 1e-12) * 1e300), (2, 2, 1.0 + 1e-12), (3, 3, -(1.0 + 1e-12) * 1e300)]
