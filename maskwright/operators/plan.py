@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors
 from ..functions.values import normalized_value
-from .detect import detect
+from .detect import detect, invalid_spans
 from .link import link
 from .propagate import propagate, with_value
 from .pseudonymize import digest, replacements, settled
-from .rewrite import affected_runs, changed_runs, rewritten_runs, rewritten_text, unsafe
+from .rewrite import affected_runs, changed_runs, invalid_replacements, rewritten_runs, rewritten_text, unsafe
 from .store import stored
 
 OVERLAPPING, INCONSISTENT, UNSAFE = "OVERLAPPING_DETECTIONS", "INCONSISTENT_REPEATED_ENTITY", "UNSAFE_DOCX_REWRITE"
@@ -37,6 +37,12 @@ def overlap_conflicts(entities: DataFrame) -> DataFrame:
     )
 
 
+def with_odd(named: DataFrame) -> DataFrame:
+    """named with odd: whether a value's replacement differs from that at its first place in the document."""
+    first = F.first_value("replacement").over(Window.partitionBy("doc_id", "entity_type", "value").orderBy("seq", "start", "end"))
+    return named.withColumn("odd", ~F.col("replacement").eqNullSafe(first))
+
+
 def plan_from_entities(containers: DataFrame, entities: DataFrame, secret: bytes) -> Plan:
     """The plan for entities that are linked already (identity_key and link_scope)."""
     overlapping = stored(overlap_conflicts(entities), "overlaps")
@@ -44,8 +50,7 @@ def plan_from_entities(containers: DataFrame, entities: DataFrame, secret: bytes
     keyed = settled(with_value(clear), "digest", digest(secret))
     originals = with_value(entities).select("doc_id", "entity_type", "value")
     named = keyed.join(replacements(clear, secret, originals), ["doc_id", "entity_type", "digest"], "left")
-    first = F.first_value("replacement").over(Window.partitionBy("doc_id", "entity_type", "value").orderBy("seq", "start", "end"))
-    named = stored(named.withColumn("__odd", ~F.col("replacement").eqNullSafe(first)), "named")
+    named = stored(with_odd(named).withColumnRenamed("odd", "__odd"), "named")
     inconsistent = named.where("__odd").select(*BY_CONTAINER, F.lit(INCONSISTENT).alias("reason"), F.array("entity_type").alias("entity_types"), F.array(F.struct("start", "end")).alias("spans"))
     consistent = named.join(inconsistent.select(*BY_CONTAINER).distinct(), BY_CONTAINER, "left_anti").drop("__odd")
 
@@ -70,9 +75,14 @@ def build_plan(containers: DataFrame, secret: bytes, names: tuple[str, ...] = de
 
 
 def applied(containers: DataFrame, plan: Plan) -> DataFrame:
-    """containers with texts, runs and mirrors rewritten. Refuses a plan with conflicts before anything is written."""
+    """containers with texts, runs and mirrors rewritten. Refuses a plan with conflicts, or one made for other texts, before anything is written."""
     if not plan.conflicts.isEmpty():
         raise ValueError("the plan has conflicts; nothing is rewritten")
+    if not invalid_spans(containers, plan.replacements).isEmpty():
+        raise ValueError("the plan is stale: a text is not what was planned for; nothing is rewritten")
+    own = plan.replacements.groupBy(*BY_CONTAINER).agg(F.collect_list(F.struct("start", "end", "replacement")).alias("__own"))
+    if not containers.join(own, BY_CONTAINER).where(invalid_replacements(F.col("text"), F.col("__own"))).isEmpty():
+        raise ValueError("replacements overlap or leave their text; nothing is rewritten")
     return rewritten(containers, plan.replacements)
 
 
@@ -105,3 +115,8 @@ def residuals(found: DataFrame, planned: DataFrame, minimum: float = 0.85) -> Da
     across = F.exists("__spans", lambda s: (F.col("start") < s["end"]) & (s["start"] < F.col("end")))
     kind = F.when(F.col("__known"), "EXACT_KNOWN_SYNTHETIC").when(inside, "CONTAINED_IN_SYNTHETIC_REPLACEMENT").when(across, "BROAD_OVERLAP_REVIEW").otherwise("UNCLASSIFIED")
     return marked.withColumn("classification", kind).drop("__known", "__spans")
+
+
+def plain_residuals(found: DataFrame, minimum: float = 0.85) -> DataFrame:
+    """Sure detections in texts for which no plan is at hand: none can be told from a leak."""
+    return found.where(F.col("confidence") >= minimum).withColumn("classification", F.lit("UNCLASSIFIED"))

@@ -19,6 +19,12 @@ def containers_by_story(containers: DataFrame) -> DataFrame:
     return story_dimension(containers.sparkSession).join(counts, "story_type", "left").na.fill(0, ["containers"])
 
 
+def replacements_by_story(replacements: DataFrame) -> DataFrame:
+    """story_type, replacements of the stories that have some."""
+    counts = replacements.groupBy("story_type").agg(F.count("*").alias("replacements"))
+    return story_dimension(replacements.sparkSession).join(counts, "story_type").orderBy("ord").select("story_type", "replacements")
+
+
 def with_affected_runs(containers: DataFrame, entities: DataFrame) -> DataFrame:
     runs = containers.select("doc_id", "container_id", "run_texts")
     joined = entities.join(runs, ["doc_id", "container_id"])

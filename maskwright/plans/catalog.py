@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors, fakes, ner, values
 from ..functions.types import NER, containers_of
-from ..operators import detect, plan, propagate, report, rewrite, score
-from ..operators.link import mail_fits_name
+from ..operators import detect, plan, propagate, pseudonymize, report, rewrite, score
+from ..operators.link import link
 from ..operators.store import stored
 
 SECRET = b"an-example-secret-0123456789"
@@ -321,7 +321,7 @@ def _fake(name: str):
         seed = F.col("seed")
         made = {
             "person": fakes.person(seed), "email": fakes.email(seed, F.col("key") % 2 == 0), "phone": fakes.phone(seed), "company": fakes.company(seed), "address": fakes.address(seed), "ssn": fakes.ssn(seed),
-            "card": fakes.card(seed), "dob": fakes.birth_date(seed, F.when(F.col("key") % 2 == 0, "1/2/1990").otherwise("1990-02-01")), "ipv4": fakes.ip(seed, F.lit(4)),
+            "card": fakes.card(seed), "dob": fakes.birth_date(seed, F.when(F.col("key") % 2 == 0, "1/2/1990").otherwise("1990-02-01")), "ipv4": fakes.ip(seed, F.lit(4)), "ipv6": fakes.ip(seed, F.lit(6)),
         }
         return _seeds(spark, sf_dir).select("key", made[name].alias("value"))
 
@@ -344,6 +344,7 @@ _SQL_FAKES = {
     "ssn": "(700 + seed % 199) || '-' || lpad((1 + (seed >> 8) % 99)::varchar, 2, '0') || '-' || lpad((1 + (seed >> 16) % 9999)::varchar, 4, '0')",
     "dob": "case when key % 2 = 0 then strftime(date '1970-01-01' + (seed % 10950)::int, '%d/%m/%Y') else strftime(date '1970-01-01' + (seed % 10950)::int, '%Y-%m-%d') end",
     "ipv4": "'192.0.2.' || (1 + seed % 254)",
+    "ipv6": "'2001:db8::' || lower(to_hex(1 + seed % 65534))",
 }
 _SQL_CARD_FAKE = f"""with {_SQL_SEEDS}, p as (select key, '424242' || lpad((seed % 1000000000)::varchar, 9, '0') as d from s), f as (select key, d || {_SQL_LUHN} as c from p)
 select key, substr(c, 1, 4) || ' ' || substr(c, 5, 4) || ' ' || substr(c, 9, 4) || ' ' || substr(c, 13, 4) as value from f"""
@@ -366,13 +367,13 @@ union all select c_custkey, 'PERSON', {_SQL_WORDS.format("c_name || ', ' || c_mk
 
 
 def link_person_email(spark, sf_dir):
-    """Names of nations' first customers against addresses; unique pairs from either side."""
-    df = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.expr(_LETTERS).alias("w"))
-    people = df.select("c_nationkey", F.col("c_custkey").alias("person"), F.concat(F.lit("Ann "), F.initcap("w")).alias("name"))
-    mails = df.where("c_custkey % 2 = 0").select("c_nationkey", F.col("c_custkey").alias("mail_key"), F.concat(F.when(F.col("c_custkey") % 4 == 0, "a").otherwise("ann."), F.col("w"), F.lit("@x.org")).alias("mail"))
-    pairs = people.join(mails, "c_nationkey").where(mail_fits_name(F.col("mail"), F.col("name")))
-    one = lambda side: F.count("*").over(Window.partitionBy("c_nationkey", side)) == 1
-    return pairs.withColumn("p", one("person")).withColumn("m", one("mail_key")).where("p and m").select("person", "mail_key")
+    """Names of nations' first customers against addresses, each nation a container; unique pairs from either side."""
+    df = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), F.lit("body/p0000").alias("container_id"), F.col("c_custkey").alias("start"), F.expr(_LETTERS).alias("w"))
+    people = df.select("*", F.lit("PERSON").alias("entity_type"), F.concat(F.lit("Ann "), F.initcap("w")).alias("text"))
+    mails = df.where("start % 2 = 0").select("*", F.lit("EMAIL").alias("entity_type"), F.concat(F.when(F.col("start") % 4 == 0, "a").otherwise("ann."), F.col("w"), F.lit("@x.org")).alias("text"))
+    linked = link(people.union(mails).withColumn("end", F.col("start") + F.length("text")), SECRET).where("link_scope = 'identity'")
+    side = lambda kind, name: linked.where(F.col("entity_type") == kind).select("doc_id", "identity_key", F.col("start").alias(name))
+    return side("PERSON", "person").join(side("EMAIL", "mail_key"), ["doc_id", "identity_key"]).select("person", "mail_key")
 
 
 _SQL_LINK = """
@@ -387,9 +388,9 @@ select person, mail_key from k where np = 1 and nm = 1
 
 def consistency_check(spark, sf_dir):
     """Values whose later replacement differs from their first."""
-    df = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("value"), (F.col("l_partkey") % 50 > 0).alias("replacement"), "l_orderkey", "l_linenumber")
-    first = F.first_value("replacement").over(Window.partitionBy("value").orderBy("l_orderkey", "l_linenumber"))
-    return df.withColumn("odd", F.col("replacement") != first).groupBy("value").agg(F.count_if("odd").alias("n")).where("n > 0")
+    replacement = (F.col("l_partkey") % 50 > 0).cast("string")
+    named = _table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc_id"), F.lit("PERSON").alias("entity_type"), F.col("l_suppkey").alias("value"), replacement.alias("replacement"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end"))
+    return plan.with_odd(named).groupBy("value").agg(F.count_if("odd").alias("n")).where("n > 0")
 
 
 _SQL_CONSISTENCY = """
@@ -430,15 +431,16 @@ select key, string_agg(case when start < t and 1 < "end" then substr(run, 1, gre
 
 
 def rewrite_documents(spark, sf_dir):
-    """Each document with its first fifth and last three characters replaced, as a length and a digest."""
-    df = _table(spark, sf_dir, "documents")
+    """Each document with its first fifth and last three characters replaced, as a length and a digest; texts too short for both change in one place."""
+    df = _table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     n = F.length("text")
     spans = F.array(F.struct(F.lit(0).alias("start"), F.floor(n / 5).cast("int").alias("end"), F.lit("«A»").alias("replacement")), F.struct((n - 3).alias("start"), n.alias("end"), F.lit("Z").alias("replacement")))
-    new = rewrite.rewritten_text(F.col("text"), spans)
-    return df.where(n >= 10).select("doc_id", F.length(new).alias("n"), F.sha2(new, 256).alias("digest"))
+    last = F.array(F.struct(F.lit(0).alias("start"), n.alias("end"), F.lit("Z").alias("replacement")))
+    new = rewrite.rewritten_text(F.col("text"), F.when(n >= 10, spans).otherwise(last))
+    return df.select("doc_id", F.length(new).alias("n"), F.sha2(new, 256).alias("digest"))
 
 
-_SQL_REWRITE = "select doc_id, length(v)::int as n, sha256(v) as digest from (select doc_id, '«A»' || substr(text, floor(length(text) / 5)::int + 1, length(text) - 3 - floor(length(text) / 5)::int) || 'Z' as v from documents where length(text) >= 10)"
+_SQL_REWRITE = "select doc_id, length(v)::int as n, sha256(v) as digest from (select doc_id, '«A»' || substr(text, floor(length(text) / 5)::int + 1, length(text) - 3 - floor(length(text) / 5)::int) || 'Z' as v from documents where length(text) >= 10 union all select doc_id, 'Z' from documents where coalesce(length(text), 0) < 10)"
 
 
 def preflight_unsafe(spark, sf_dir):
@@ -491,6 +493,98 @@ def leak_classify(spark, sf_dir):
     return plan.residuals(again, made.replacements).groupBy("classification", "entity_type").agg(F.count("*").alias("n"))
 
 
+# Notes: one address of mail in each, and an IP address in every third, which the plan leaves alone.
+
+
+def _notes(spark, sf_dir, six: bool = False):
+    ip = "concat('2001:0db8:0000:0000:0000:0000:0000:', lpad(lower(hex(c_custkey % 65000 + 1)), 4, '0'))" if six else "concat('10.1.2.', c_custkey % 250 + 1)"
+    text = f"concat('Write to a', {_LETTERS}, '@mail', c_nationkey, '.org', case when c_custkey % 3 = 0 then concat(' from ', {ip}) else '' end)"
+    found = containers_of(_table(spark, sf_dir, "customer"), F.col("c_custkey"), F.expr(text))
+    story = F.element_at(F.array(*map(F.lit, ("BODY_PARAGRAPH", "TABLE_CELL_PARAGRAPH", "HEADER_PARAGRAPH"))), (F.col("doc_id").cast("int") % 3 + 1))
+    return found.withColumn("story_type", story)
+
+
+def _notes_plan(spark, sf_dir):
+    notes = _notes(spark, sf_dir)
+    return notes, plan.build_plan(notes, SECRET, ("email",), TODAY)
+
+
+def _listed(spark, counts: dict):
+    """metric, value of a report's counts; by type as metric.TYPE."""
+    rows = [(k, str(v)) for k, v in counts.items() if not isinstance(v, dict)] + [(f"{k}.{t}", str(n)) for k, v in counts.items() if isinstance(v, dict) for t, n in v.items() if n]
+    return spark.createDataFrame(rows, "metric string, value string")
+
+
+def plan_summary(spark, sf_dir):
+    return _listed(spark, report.plan_summary(_notes_plan(spark, sf_dir)[1]))
+
+
+def _leaks(spark, sf_dir):
+    notes, made = _notes_plan(spark, sf_dir)
+    return report.leak_summary(plan.residuals(_found(plan.applied(notes, made), "email", "ip"), made.replacements))
+
+
+def leak_summary(spark, sf_dir):
+    return _listed(spark, _leaks(spark, sf_dir))
+
+
+def quality_gate(spark, sf_dir):
+    """The gate over a table that still holds IP addresses, and over one whose scan is clear."""
+    clear = report.leak_summary(plan.plain_residuals(_found(_notes(spark, sf_dir), "ssn")))
+    return spark.createDataFrame([("left", report.quality_gate(_leaks(spark, sf_dir))), ("clear", report.quality_gate(clear)), ("links", report.quality_gate(clear, 1))], "scan string, gate string")
+
+
+def replacements_by_story(spark, sf_dir):
+    return report.replacements_by_story(_notes_plan(spark, sf_dir)[1].replacements)
+
+
+def plain_residuals(spark, sf_dir):
+    return plan.plain_residuals(_found(_notes(spark, sf_dir), "email", "ip")).groupBy("classification", "entity_type").agg(F.count("*").alias("n"))
+
+
+def stale_plan(spark, sf_dir):
+    """Replacements whose text has changed since they were planned: every fifth note."""
+    notes, made = _notes_plan(spark, sf_dir)
+    changed = notes.withColumn("text", F.when(F.col("doc_id").cast("int") % 5 == 0, F.concat(F.lit("Re: "), "text")).otherwise(F.col("text")))
+    return detect.invalid_spans(changed, made.replacements).select(F.col("doc_id").cast("bigint").alias("key"), "start")
+
+
+def detect_ipv6_derived(spark, sf_dir):
+    return _counted(_found(_notes(spark, sf_dir, six=True), "ip"), F.col("normalized"))
+
+
+_NOTES = "n as (select c_custkey, c_custkey % 3 = 0 as ip from customer)"
+_SQL_PLAN_SUMMARY = f"""with {_NOTES}, c as (select count(*)::varchar as n from n)
+select unnest(['planned_replacement_count', 'planned_replacements_by_type.EMAIL', 'exact_repeat_propagation_count', 'cross_run_replacement_count', 'text_box_replacement_count', 'mirrored_representation_update_count', 'linked_identity_count', 'linked_entity_count', 'conflict_count', 'quality_gate']) as metric,
+    unnest([n, n, '0', '0', '0', '0', '0', '0', '0', 'CONFLICT_FREE_PLAN']) as value from c"""
+_SQL_LEAK_SUMMARY = f"""with {_NOTES}, c as (select count(*) as m, count(*) filter (ip) as i from n)
+select unnest(['high_confidence_detection_count', 'known_synthetic_detection_count', 'exact_known_synthetic_detection_count', 'synthetic_contained_detection_count', 'broad_overlap_review_count', 'unclassified_residual_count', 'review_required_count', 'detections_by_type.EMAIL', 'detections_by_type.IP_ADDRESS', 'review_required_by_type.IP_ADDRESS', 'unclassified_by_type.IP_ADDRESS']) as metric,
+    unnest([m + i, m, m, 0, 0, i, i, m, i, i, i])::varchar as value from c"""
+_SQL_GATE = "select unnest(['left', 'clear', 'links']) as scan, unnest(['WRITE_COMPLETED_WITH_RESIDUAL_REVIEW', 'WRITE_COMPLETED_SUPPORTED_TEXT_SCAN_CLEAR', 'WRITE_COMPLETED_WITH_RESIDUAL_REVIEW']) as gate"
+_SQL_BY_STORY = "select ['BODY_PARAGRAPH', 'TABLE_CELL_PARAGRAPH', 'HEADER_PARAGRAPH'][(c_custkey % 3)::int + 1] as story_type, count(*) as replacements from customer group by 1"
+_SQL_PLAIN = "select 'UNCLASSIFIED' as classification, 'EMAIL' as entity_type, count(*) as n from customer union all select 'UNCLASSIFIED', 'IP_ADDRESS', count(*) from customer where c_custkey % 3 = 0"
+_SQL_STALE = "select c_custkey as key, 9::int as start from customer where c_custkey % 5 = 0"
+_SQL_IPV6 = "select c_custkey as doc_id, '2001:db8::' || lower(to_hex(c_custkey % 65000 + 1)) as value, 1::bigint as n from customer where c_custkey % 3 = 0"
+
+
+def forbidden_retry(spark, sf_dir):
+    """Names whose fakes must not hold one of four names that the document has: later seeds are tried."""
+    none = F.lit(None).cast("string")
+    entities = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("doc_id"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("text"), none.alias("normalized"), F.lit(None).cast("int").alias("version"),
+        none.alias("identity_key"), none.alias("link_scope"), F.lit(0).alias("seq"), F.lit(0).alias("start"), F.length("c_name").alias("end"),
+    )
+    originals = entities.select("doc_id", "entity_type", F.explode(F.array(*[F.lit(n.lower()) for n in fakes.FIRST_NAMES[:4]])).alias("value"))
+    return pseudonymize.replacements(entities, SECRET, originals).select(F.col("doc_id").cast("bigint").alias("key"), "replacement")
+
+
+_SQL_FORBIDDEN = f"""
+with {_SQL_SEEDS}, t as (select key, hex, a.k as k, ((seed::hugeint + a.k * {values.STRIDE}::hugeint) % {values.MODULUS}::hugeint)::ubigint as seed from s, (select unnest(range(0, 40)) as k) a),
+f as (select key, k, {_SQL_FAKES["person"]} as value from t)
+select key, arg_min(value, k) as replacement from f where not list_contains({_sql_list(fakes.FIRST_NAMES[:4])}, split_part(value, ' ', 1)) group by key
+"""
+
+
 def repeat_flag(spark, sf_dir):
     found = report.with_repeats(_found(_documents(spark, sf_dir), "card"))
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "value", "occurrences", "repeated").distinct()
@@ -598,7 +692,7 @@ _PLAIN = (
     detect_email, detect_pages_email, detect_card, detect_ipv4, detect_phone, detect_ssn_derived, detect_dob_derived, detect_company_legal_derived, detect_address_derived, detect_person_role_derived,
     detect_company_ner_derived, detect_person_ner_derived, resolve_conflicts, resolve_tier, overlap_conflicts, propagate_repeats, normalize_values, hmac_seed, mask_values, link_person_email, consistency_check, run_offsets, affected_runs,
     rewrite_runs, rewrite_documents, preflight_unsafe, synthetic_spans, detections_by_type, plan_by_type, leak_classify, repeat_flag, preview_limit, top_types, containers_by_story, context_key,
-    exact_counts_by_type, micro_metrics, macro_metrics, error_distribution, relaxed_address,
+    exact_counts_by_type, micro_metrics, macro_metrics, error_distribution, relaxed_address, plan_summary, leak_summary, quality_gate, replacements_by_story, plain_residuals, stale_plan, detect_ipv6_derived, forbidden_retry,
 )
 
 
@@ -617,6 +711,7 @@ def oracle_sql() -> dict[str, str]:
         "affected_runs": f'with {_SQL_RUNS} select key, count(*) filter (start < key % 9 + 2 and 1 < "end" and start < "end")::int as n from f group by key',
         "rewrite_runs": _SQL_REWRITE_RUNS, "rewrite_documents": _SQL_REWRITE, "preflight_unsafe": _SQL_PREFLIGHT, "synthetic_spans": _SQL_SPANS, "repeat_flag": _SQL_REPEAT_FLAG, "top_types": _SQL_TOP,
         "containers_by_story": _SQL_STORY, "context_key": _SQL_CONTEXT, "exact_counts_by_type": _SQL_EXACT, "micro_metrics": _SQL_MICRO, "macro_metrics": _SQL_MACRO,
-        "error_distribution": _SQL_ERRORS, "relaxed_address": _SQL_RELAXED, "fake_card": _SQL_CARD_FAKE,
+        "plan_summary": _SQL_PLAN_SUMMARY, "leak_summary": _SQL_LEAK_SUMMARY, "quality_gate": _SQL_GATE, "replacements_by_story": _SQL_BY_STORY, "plain_residuals": _SQL_PLAIN, "stale_plan": _SQL_STALE,
+        "detect_ipv6_derived": _SQL_IPV6, "forbidden_retry": _SQL_FORBIDDEN, "error_distribution": _SQL_ERRORS, "relaxed_address": _SQL_RELAXED, "fake_card": _SQL_CARD_FAKE,
         **{f"fake_{name}": f"with {_SQL_SEEDS} select key, {sql} as value from s" for name, sql in _SQL_FAKES.items()},
     }

@@ -295,31 +295,53 @@ def external_targets(content: bytes) -> list[str]:
 
 
 def read_docx(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id (SHA-256 of the package), source and content of the packages under path; larger ones are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).where(F.col("length") <= most_bytes)
-    return files.select(F.sha2("content", 256).alias("doc_id"), F.col("path").alias("source"), "content")
+    """doc_id (SHA-256 of the package), source, content and error of the packages under path.
+
+    A file of more than most_bytes, or one that is no sound package, has an error in
+    place of its content; the others' jobs go on.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
+
+    @F.pandas_udf("string")
+    def fault(contents: pd.Series) -> pd.Series:
+        return pd.Series([_fault(bytes(c)) for c in contents], dtype=object)
+
+    small = files.where(F.col("length") <= most_bytes).withColumn("error", fault("content"))
+    large = files.where(F.col("length") > most_bytes).withColumn("error", F.format_string(f"PackageError: %d bytes; {most_bytes} are allowed", "length"))
+    sound = F.when(F.col("error").isNull(), F.col("content"))
+    taken = small.select(F.sha2("content", 256).alias("doc_id"), F.col("path").alias("source"), sound.alias("content"), "error")
+    return taken.unionByName(large.select(F.lit(None).cast("string").alias("doc_id"), F.col("path").alias("source"), F.lit(None).cast("binary").alias("content"), "error"))
+
+
+def _fault(content: bytes) -> str | None:
+    try:
+        validated(content)
+    except (PackageError, zipfile.BadZipFile, ExpatError, KeyError) as e:
+        return f"PackageError: {e}"
+    return None
 
 
 def text_containers(packages: DataFrame) -> DataFrame:
-    """Containers of packages (doc_id, content), in Arrow batches on the executors."""
+    """Containers of packages (doc_id, content), in Arrow batches on the executors; packages without content have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 yield pd.DataFrame([{"doc_id": doc_id, **row} for row in containers_of(bytes(content))])
 
-    return packages.select("doc_id", "content").mapInPandas(run, CONTAINERS)
+    return packages.where("content is not null").select("doc_id", "content").mapInPandas(run, CONTAINERS)
 
 
 def rewritten_packages(packages: DataFrame, containers: DataFrame) -> DataFrame:
-    """packages with the runs of the given containers put in."""
+    """packages with the runs of the given containers put in; those of which none is given stay as they are."""
     own = containers.groupBy("doc_id").agg(F.collect_list(F.struct("container_id", "run_texts", "mirrors")).alias("__own"))
 
     @F.pandas_udf("binary")
     def put(contents: pd.Series, rows: pd.Series) -> pd.Series:
         return pd.Series([rewritten(bytes(c), {r["container_id"]: (list(r["run_texts"]), [list(m) for m in r["mirrors"]]) for r in o}) for c, o in zip(contents, rows, strict=True)])
 
-    return packages.join(own, "doc_id").withColumn("content", put("content", "__own")).drop("__own")
+    joined = packages.join(own, "doc_id", "left")
+    return joined.withColumn("content", F.when(F.col("__own").isNotNull(), put("content", F.coalesce("__own", F.expr("array()").cast(own.schema["__own"].dataType)))).otherwise(F.col("content"))).drop("__own")
 
 
 def write_atomically(content: bytes, source: str, output: str) -> None:

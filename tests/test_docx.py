@@ -5,6 +5,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwright.plans import documents
 from maskwright.sources import docx
@@ -95,3 +96,19 @@ def test_data_source(spark, tmp_path):
     got = spark.read.format("docx").load(str(tmp_path)).orderBy("seq")
     assert [r["text"] for r in got.collect()] == ["one", "two"]
     assert docx.text_containers(docx.read_docx(spark, str(tmp_path))).count() == 2
+
+
+def test_refused_packages_have_an_error_and_unchanged_ones_stay(spark, tmp_path):
+    sound, other = package(p("one") + p("two")), package(p("three"))
+    for name, content in (("a", sound), ("b", other), ("c", b"no package"), ("d", sound + b"x" * 5_000)):
+        (tmp_path / f"{name}.docx").write_bytes(content)
+    read = docx.read_docx(spark, str(tmp_path), most_bytes=len(sound) + 100)
+    rows = {r["source"].rsplit("/")[-1]: r for r in read.collect()}
+    assert rows["a.docx"]["error"] is None and rows["a.docx"]["content"] == sound
+    assert rows["c.docx"]["content"] is None and "PackageError" in rows["c.docx"]["error"]
+    assert rows["d.docx"]["content"] is None and "bytes" in rows["d.docx"]["error"]
+    containers = docx.text_containers(read)
+    assert sorted(r["text"] for r in containers.collect()) == ["one", "three", "two"]
+    changed = containers.where("text = 'one'").withColumn("run_texts", F.array(F.lit("ONE")))
+    new = docx.text_containers(docx.rewritten_packages(read.where("error is null"), changed))
+    assert sorted(r["text"] for r in new.collect()) == ["ONE", "three", "two"]

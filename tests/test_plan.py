@@ -83,3 +83,14 @@ def test_scores(spark):
     with pytest.raises(ValueError):
         score.evaluation_report(made, truth.limit(0))
     assert made.where(F.col("start") > 99).count() == 0
+
+
+def test_a_stale_plan_and_overlapping_replacements_stop_the_rewrite(spark):
+    c = containers(spark, [row("d", "body/p0000", "SSN 123-45-6789"), row("d", "body/p0001", "ip 10.0.0.1")])
+    made = plan.build_plan(c, KEY, today=TODAY)
+    assert plan.applied(c, made).count() == 2
+    with pytest.raises(ValueError, match="stale"):
+        plan.applied(c.withColumn("text", F.concat(F.lit("x"), "text")), made)
+    twice = made._replace(replacements=made.replacements.union(made.replacements))
+    with pytest.raises(ValueError, match="overlap"):
+        plan.applied(c, twice)
