@@ -1,7 +1,8 @@
 """Personal identifiers: fixed shapes as seeds, and bootstrapped contexts that find more.
 
-Seeds are what the fixed rules match. The words around them are lexical patterns; an
-identifier-like string of looser shape is a candidate. Spark scores the graph of
+Seeds are what the fixed rules match: the four base kinds, and secrets of well-known
+form (long hexadecimal strings, keys with a public prefix). The words around them are
+lexical patterns; an identifier-like string of looser shape is a candidate. Spark scores the graph of
 patterns and values in rounds: a pattern by the share of all its occurrences in the
 corpus that are followed by values known so far, a value by its patterns. Candidates
 whose score reaches ACCEPT are found, and support further patterns as seeds do, until
@@ -11,6 +12,7 @@ nothing changes; seeds always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+#: Found besides the base kinds.
+SECRET = "secret"
+ALL_KINDS = (*KINDS, SECRET)
 
 #: A pattern needs that many distinct seeds or accepted values, and that share of its occurrences to be identifiers.
 SEEDS, CONFIDENCE = 3, 0.5
@@ -36,6 +41,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36,}|xox[abps]-[0-9A-Za-z-]{20,}|sk-[0-9A-Za-z_-]{20,})(?![0-9A-Za-z])")
+_WORD = re.compile(r"\S+")
 
 #: Looser shapes of candidates.
 _LOOSE = {
@@ -43,9 +50,8 @@ _LOOSE = {
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2,3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z.+])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])"),
+    "secret": re.compile(r"(?<![0-9A-Za-z])[0-9A-Za-z](?:[0-9A-Za-z_+/=~.-]{6,}[0-9A-Za-z=])(?![0-9A-Za-z])"),
 }
-_BEFORE = re.compile(r"(\S{1,40})\s+(\S{1,40})\s+\Z|(\S{1,40})\s+\Z")
-_AFTER = re.compile(r"\s*(\S{1,40})")
 
 
 def luhn(digits: str) -> bool:
@@ -82,42 +88,63 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
+def secret_spans(text: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of secrets of well-known form: hexadecimal ones have digits and letters."""
+    if not _DIGIT.search(text):
+        return []
+    return [(m.start(), SECRET, m.end()) for m in _SECRET.finditer(text) if _mixed(m[0])]
+
+
+def _mixed(text: str) -> bool:
+    return bool(_DIGIT.search(text)) and any(c.isalpha() for c in text)
+
+
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Strings of looser shapes that overlap no base span; of those that overlap each other, the first by start, then kind."""
+    """Strings of looser shapes that overlap none of the seeds given; of those that overlap each other, the first by start, then kind."""
     found: list[tuple[int, int, int]] = []
     digits = _DIGIT.search(text)
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(ALL_KINDS):
         if digits if kind != "email" else ("at" in text and ("(at" in text or "[at" in text or "{at" in text or " at " in text)):
             for m in _LOOSE[kind].finditer(text):
-                if kind != "phone" or 7 <= len(_DIGIT.findall(m[0])) <= 15:
+                if _mixed(m[0]) if kind == SECRET else kind != "phone" or 7 <= len(_DIGIT.findall(m[0])) <= 15:
                     found.append((m.start(), k, m.end()))
     taken = sorted((a, b) for a, _, b in base)
     out: list[tuple[int, str, int]] = []
     end = -1
     for a, k, b in sorted(found):
         if a >= end and not any(x < b and a < y for x, y in taken):
-            out.append((a, KINDS[k], b))
+            out.append((a, ALL_KINDS[k], b))
             end = b
     return out
 
 
 def value_of(kind: str, text: str) -> str:
+    if kind == SECRET:
+        return text
     return re.sub(r"\s+", "", text.lower()) if kind in ("email", "ip") else "".join(_DIGIT.findall(text))
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: the word before and the one before that or the one after."""
-    before = _BEFORE.search(text[max(0, start - 90) : start].lower())
-    if not before:
-        return []
-    far, near = (before[1], before[2]) if before[2] else (None, before[3])
-    after = _AFTER.match(text[end : end + 50].lower())
-    out = [f"1 {near}"]
-    if far:
-        out.append(f"2 {far} {near}")
-    if after:
-        out.append(f"3 {near} {after[1]}")
-    return out
+class Words:
+    """The words of a text: what white space parts, as _occurrences counts them, however long."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.spans = [m.span() for m in _WORD.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+
+    def at(self, k: int) -> str | None:
+        if not 0 <= k < len(self.spans):
+            return None
+        a, b = self.spans[k]
+        return self.text[a:b].lower()
+
+    def contexts(self, start: int, end: int) -> list[str]:
+        """The lexical patterns around a span: the word before that in which it starts, and the one before or the one after that in which it ends."""
+        first = bisect_right(self.starts, start) - 1
+        near, far, after = self.at(first - 1), self.at(first - 2), self.at(bisect_right(self.starts, end - 1))
+        if near is None:
+            return []
+        return [f"1 {near}", *([f"2 {far} {near}"] if far else []), *([f"3 {near} {after}"] if after else [])]
 
 
 _OCCURRENCE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
@@ -131,9 +158,10 @@ def _extracted(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = text or ""
-                base = base_spans(text)
-                more = candidates(text, base)
-                own = [(k, a, b, True, value_of(k, text[a:b]), contexts(text, a, b)) for a, k, b in base] + [(k, a, b, False, value_of(k, text[a:b]), contexts(text, a, b)) for a, k, b in more]
+                seeds = base_spans(text) + secret_spans(text)
+                more = candidates(text, seeds)
+                words = Words(text) if seeds or more else None
+                own = [(k, a, b, known, value_of(k, text[a:b]), words.contexts(a, b)) for spans, known in ((seeds, True), (more, False)) for a, k, b in spans]
                 rows.append((f"{doc_id}:{xxhash.xxh3_128_hexdigest(text)}" if more else None, [dict(zip(("kind", "start", "end", "base", "value", "patterns"), o, strict=True)) for o in own]))
             keys, lists = zip(*rows, strict=True) if rows else ([], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(lists, pa.list_(_OCCURRENCE))], ["doc_id", "key", "own"])
@@ -236,7 +264,7 @@ def found_values(docs: DataFrame, extracted: DataFrame) -> DataFrame:
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
-    """doc_id, base and all (arrays of kind, start, end, by start and then kind) of every whole text.
+    """doc_id, base (of the four base kinds) and all (with secrets and what contexts reveal; arrays of kind, start, end, by start and then kind) of every whole text.
 
     Offsets are code points, ends exclusive. Null texts are empty. Each row is judged by
     its own text; repeated rows give repeated rows; other columns are not read.
@@ -245,13 +273,18 @@ def identifiers(docs: DataFrame) -> DataFrame:
     values = found_values(docs, extracted).where(F.col("score") >= ACCEPT).select("kind", "value")
     loose = extracted.where("key is not null").select("key", F.explode("own").alias("o")).where("not o.base").select("key", F.col("o.kind").alias("kind"), "o.value", "o.start", "o.end").distinct()
     more = loose.join(values, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    base = F.transform(F.filter("own", lambda o: o["base"]), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
-    joined = extracted.join(more, "key", "left").select("doc_id", base.alias("base"), F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("more"))
-    return joined.select("doc_id", "base", F.expr(f"array_sort(concat(base, more), (l, r) -> cast(case when l.start <> r.start then l.start - r.start else {_rank('l')} - {_rank('r')} end as int))").alias("all"))
+    spans = lambda kept: F.transform(F.filter("own", kept), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
+    base = spans(lambda o: o["base"] & (o["kind"] != SECRET)).alias("base")
+    seeds = spans(lambda o: o["base"]).alias("seeds")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    # Most rows have no candidate and no key: they take no part in the join.
+    asked = extracted.where("key is not null").join(more, "key", "left").select("doc_id", base, seeds, F.coalesce("more", none).alias("more"))
+    joined = asked.union(extracted.where("key is null").select("doc_id", base, seeds, none.alias("more")))
+    return joined.select("doc_id", "base", F.expr(f"array_sort(concat(seeds, more), (l, r) -> cast(case when l.start <> r.start then l.start - r.start else {_rank('l')} - {_rank('r')} end as int))").alias("all"))
 
 
 def _rank(side: str) -> str:
-    return f"array_position(array({', '.join(map(repr, KINDS))}), {side}.kind)"
+    return f"array_position(array({', '.join(map(repr, ALL_KINDS))}), {side}.kind)"
 
 
 def _joined(spans: str):
@@ -259,16 +292,17 @@ def _joined(spans: str):
 
 
 def op5_personal_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_* and base_sha256 are of the base spans; spans has those found by context too."""
+    """n_email, n_ip, n_card, n_phone and base_sha256 are of the base spans; spans, n_spans and n_secret of all."""
     found = identifiers(common.table(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
+    more = F.size("all").cast("bigint").alias("n_spans"), F.expr(f"cast(size(filter(all, s -> s.kind = '{SECRET}')) as bigint)").alias(f"n_{SECRET}")
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"), *more)
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """text with each span as its kind in angle brackets; of overlapping ones, the first."""
     out, at = [], 0
-    for kind, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))):
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], ALL_KINDS.index(s[0]))):
         if a >= at:
             out += [text[at:a], f"<{kind}>"]
             at = b

@@ -93,3 +93,19 @@ def test_long_runs_of_digits_and_redaction():
     assert I.base_spans("1" * 50_000) == []
     text = "a x@y.zz b"
     assert I.redact(text, [(k, a, b) for a, k, b in I.base_spans(text)]) == "a <email> b"
+
+
+def test_secrets_by_form_and_by_context(spark):
+    digest = lambda k: f"{k:02d}" + "ab12" * 9 + "cd"
+    rows = [f'some words token = "{digest(k)}" and more' for k in range(5)] + ['here token = "Qw3rTy-99x" it is', "version Qw3rTy-98x of it", f"x{digest(1)} is longer"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = {r["doc_id"]: ([tuple(s) for s in r["base"]], [rows[r["doc_id"]][s["start"] : s["end"]] for s in r["all"] if s["kind"] == I.SECRET]) for r in I.identifiers(docs).collect()}
+    assert all(got[k] == ([], [digest(k)]) for k in range(5))
+    assert got[5][1] == ["Qw3rTy-99x"] and got[6][1] == [] and got[7][1] == []
+
+
+def test_contexts_have_no_window():
+    text = "before " + "w" * 500 + " " * 300 + '("1.2.3.4")' + " " * 200 + "v" * 90 + " end"
+    at = text.index("1.2.3.4")
+    assert I.Words(text).contexts(at, at + 7) == ["1 " + "w" * 500, "2 before " + "w" * 500, "3 " + "w" * 500 + " " + "v" * 90]
+    assert I.Words("x@y.z").contexts(0, 5) == [] and I.Words("a x@y.z").contexts(2, 7) == ["1 a"]
