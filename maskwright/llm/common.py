@@ -35,13 +35,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return table
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written(); call it once no later job reads them."""
+def dropped(*tables: DataFrame, sweep: bool = True) -> None:
+    """Deletes tables of written(); call it once no later job reads them. Unless told otherwise, it sweeps too."""
     for table in tables:
         jvm = table.sparkSession._jvm
         place = jvm.org.apache.hadoop.fs.Path(table._written_at)
         place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-    if tables:
+    if tables and sweep:
         swept(tables[0].sparkSession)
 
 

@@ -209,9 +209,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = common.written(_signed(docs), "signatures")
     # One node for each distinct set, named by its smallest doc_id.
     nodes = common.written(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
-    places = nodes.select("node", F.explode("keys").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    places = common.written(places.join(shared, "key"), "places")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    places = common.written(keyed.join(shared, "key"), "places")
     weight = places.groupBy("node").agg(F.sum("n").alias("weight"))
     heavy = places.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"), F.col("h.weight").alias("hub_weight"))
     hubs = common.written(heavy, "hubs")
@@ -231,13 +231,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         return named.join(mixed.select("key"), "key")
 
-    label = common.written(components(links), "labels")
-    rest = apart(label)
-    top = label.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    first_label = components(links)
+    rest = apart(first_label)
+    top = first_label.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     more = rest.join(hubs, "key").join(top, "hub", "left").where("component <> coalesce(hub_component, hub)")
     more = common.written(ordered(more.select(F.col("node").alias("x"), F.col("hub").alias("y"))).join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = common.written(links.union(_verified(more, sets)), "links")
-    label = common.written(components(links), "labels")
+    first_links, links = links, common.written(links.union(_verified(more, sets)), "links")
+    label = components(links)
+    common.dropped(first_label, first_links)
 
     rest = common.written(apart(label), "apart")
     counted = rest.join(rest.groupBy("key").agg(F.count("*").alias("held")), "key")
@@ -246,8 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     y = few.select("key", F.col("node").alias("y"), F.col("component").alias("cy"))
     last = ordered(x.join(y, "key").where("cx < cy").select("x", "y"))
     last = common.written(last.join(tested.union(more), ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verified(last, sets)).union(_blocked(counted.where(F.col("held") > FEW), sets))
-    label = common.written(components(common.written(links, "links")), "labels")
+    every = common.written(links.union(_verified(last, sets)).union(_blocked(counted.where(F.col("held") > FEW), sets)), "links")
+    second_label, label = label, components(every)
+    common.dropped(second_label, links, every, last, more, tested, rest, sets, hubs, places)
 
     named = rows.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left").join(label, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
