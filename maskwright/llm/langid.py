@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text", 1 << 20):
             got = predict(own, batch.column("text").to_pylist(), spans)
             columns = [batch.column("doc_id"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())]
             if spans:
@@ -228,7 +228,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for text in [*texts, None]:
             held.append(text)
             size += len(text or "")
-            if size > 2 << 20 or len(found) + len(held) > len(texts):
+            if size > 1 << 20 or len(found) + len(held) > len(texts):
                 found += [g[0] for g in predict(own, held)]
                 held, size = [], 0
         return pd.Series(found[: len(texts)], dtype=object)
