@@ -1,5 +1,9 @@
 """Exact set-similarity join of lines, and removal of lines that match an earlier one.
 
+links() returns the whole join: every two near sets, and which lines have which set.
+matches() and without_repeated_lines() name one earlier match of each line, which is all
+that removal needs; step 5 below is theirs alone.
+
 DataFrame functions only. A line's tokens are its distinct words in lower case, as
 56-bit hashes. Two lines match if the Jaccard similarity of their token sets is 0.75
 or more; order among lines is (doc_id, digest of the text, line number), so that
@@ -215,6 +219,23 @@ def _repeated(docs: DataFrame) -> DataFrame:
     return told
 
 
+def _linked(docs: DataFrame) -> DataFrame:
+    """doc_id, place, match_doc, match_place, same: each line with the first line of its words, if another; and each two first lines whose sets are near."""
+    lines = common.written(_tokenised(docs.select("doc_id", "text")), "tokens")
+    rarity = _rarity(lines)
+    sets = common.written(_sets(lines, rarity), "sets")
+    common.dropped(rarity)
+    pairs = _shared(sets, lambda rows: _pairs(rows, rows))
+    near = _verified(pairs, lines)
+    common.dropped(pairs)
+    first = sets.select("d1", "d2", F.struct(*_AT).alias("at"))
+    members = lines.select(*_AT, "d1", "d2").join(first, ["d1", "d2"]).where(F.struct(*_AT) != F.col("at"))
+    told = members.select(*_AT, F.col("at.doc_id").alias("match_doc"), F.col("at.place").alias("match_place"), F.lit(True).alias("same")).distinct()
+    told = common.written(told.union(near.select(*_AT, "other_doc", "other_place", F.lit(False))), "links")
+    common.dropped(lines, sets, near)
+    return told
+
+
 def _line(place: str) -> Column:
     return F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
@@ -231,6 +252,18 @@ def matches(docs: DataFrame) -> DataFrame:
     return _repeated(docs).select("doc_id", _line("place").alias("line"), F.col("match_doc").alias("match_doc_id"), _line("match_place").alias("match_line"))
 
 
+def links(docs: DataFrame) -> DataFrame:
+    """doc_id, line, match_doc_id, match_line, same: the whole similarity join, classes of equal sets not expanded.
+
+    Lines of the same words are one class; its representative is the earliest of them.
+    Where same, the line belongs to the class of match (a row for each line but the
+    representatives). Elsewhere both are representatives, match the earlier one, and
+    their sets differ but reach the threshold: a row for every such two classes. Rows,
+    lines and their order are those of matches().
+    """
+    return _linked(docs).select("doc_id", _line("place").alias("line"), F.col("match_doc").alias("match_doc_id"), _line("match_place").alias("match_line"), "same")
+
+
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the text of each row less the lines that match an earlier one; other lines and columns as they are.
 
@@ -248,4 +281,4 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return links(common.table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -108,3 +108,19 @@ def test_rewriting_keeps_other_lines_and_columns(spark):
 def test_hot_tokens_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(lines, "PART_ROWS", 2)
     same(spark, corpus(1))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_link_between_different_sets_is_returned(spark, seed):
+    core = [f"g{j}" for j in range(30)]
+    rows = corpus(seed) + [(1000 + k, " ".join([*core, f"own{k}", f"mine{k}"])) for k in range(40)] + [(1100, " ".join([*core, "own3", "mine3"]))]
+    every = [(i, k, tokens(line)) for i, text in sorted(r for r in rows if r[0] is not None and r[1] is not None) for k, line in enumerate(text.split("\n"))]
+    first = {}
+    for i, k, s in every:
+        first.setdefault(s, (i, k))
+    wanted = {(i, k, *first[s], True) for i, k, s in every if s and first[s] != (i, k)}
+    sets = [(s, at) for s, at in first.items() if s]
+    wanted |= {(*b, *a, False) for n, (t, b) in enumerate(sets) for s, a in sets[:n] if 4 * len(s & t) >= 3 * len(s | t)}
+    got = [tuple(r) for r in lines.links(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    assert sum(r[0] == 1039 for r in got) == 39
