@@ -19,8 +19,8 @@ different texts under one doc_id are told apart.
    parity of the tokens in 128 places: two sets differ in as many tokens at least as
    their bitmaps in places.
 5. To be removed, a set needs one earlier match, not all: it is first verified against
-   the likeliest of the earliest sets under its prefix tokens, one for each share of the
-   tokens, and only what that has not matched meets every earlier candidate. SHARES shares of the tokens take turns at the shuffle's disk.
+   the likeliest of the earliest and of the last few sets under its prefix tokens, one for
+   each share of the tokens, and only what that has not matched meets every earlier candidate. SHARES shares of the tokens take turns at the shuffle's disk.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ SIEVE = 1 << 21
 SHARES = 3
 #: Rows under one token that one task may take when it looks for the earliest.
 PART_ROWS = 1 << 20
+#: Places before a set under each of its tokens, whose sets are tried beside the earliest: in a wide group of near sets many are far from that one.
+BACK = (1, 2, 4)
 #: Longs in the bitmaps of lines to verify.
 WIDE = 4
 
@@ -110,7 +112,7 @@ def _pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
-    """One candidate pair at most for each row's set: of the earliest sets under its tokens, the one of the nearest bitmap.
+    """One candidate pair at most for each row's set: of the earliest sets under its tokens, and of those BACK places before it there, the one of the nearest bitmap.
 
     A token that may have more than PART_ROWS rows, by its count in the key, has several
     parts with an earliest each, so that no task takes a hot token whole.
@@ -118,12 +120,16 @@ def _hubs(rows: DataFrame) -> DataFrame:
     doublings = F.greatest(F.lit(0), F.floor((F.shiftrightunsigned("token", 56) - 1) / STEPS) - (PART_ROWS.bit_length() - 1)).cast("int")
     part = F.xxhash64(*_AT).bitwiseAND(F.expr("shiftleft(1L, doublings)") - 1)
     dealt = rows.withColumn("doublings", doublings).withColumn("part", part).drop("doublings")
-    window = Window.partitionBy("token", "part").orderBy(*_AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    window = Window.partitionBy("token", "part").orderBy(*_AT)
     names = rows.columns[1:]
-    with_first = dealt.select(*names, *[F.first(c).over(window).alias(f"first_{c}") for c in names])  # column by column: a struct would be shuffled beside them
-    both = with_first.select(F.struct(*names).alias("x"), F.struct(*[F.col(f"first_{c}").alias(c) for c in names]).alias("y")).where(_candidate("x", "y"))
-    differ = F.expr(" + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS))
-    nearest = both.groupBy("x.doc_id", "x.place").agg(F.min(F.struct(differ.alias("differ"), "y.doc_id", "y.place")).alias("hub"))
+    taken = {"y0": lambda c: F.first(c).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))} | {f"y{k}": lambda c, k=k: F.lag(c, k).over(window) for k in BACK}
+    # Column by column: a struct would be shuffled beside them.
+    with_others = dealt.select(*names, *[of(c).alias(f"{y}_{c}") for y, of in taken.items() for c in names])
+    sides = with_others.select(F.struct(*names).alias("x"), *[F.struct(*[F.col(f"{y}_{c}").alias(c) for c in names]).alias(y) for y in taken])
+    differ = {y: F.expr(" + ".join(f"bit_count(x.{b} ^ {y}.{b})" for b in _BITS)) for y in taken}
+    hub = F.least(*[F.when(_candidate("x", y), F.struct(differ[y].alias("differ"), F.col(f"{y}.doc_id").alias("doc_id"), F.col(f"{y}.place").alias("place"))) for y in taken])
+    tried = sides.select("x.doc_id", "x.place", hub.alias("hub")).where("hub is not null")
+    nearest = tried.groupBy(*_AT).agg(F.min("hub").alias("hub"))
     return nearest.select(*_AT, F.col("hub.doc_id").alias("other_doc"), F.col("hub.place").alias("other_place"))
 
 

@@ -124,3 +124,20 @@ def test_every_link_between_different_sets_is_returned(spark, seed):
     got = [tuple(r) for r in lines.links(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
     assert sum(r[0] == 1039 for r in got) == 39
+
+
+def test_few_lines_of_a_wide_group_meet_all_earlier_ones(spark, monkeypatch):
+    """Nearly all are near each other, none the earliest: that one alone was tried, then each met every earlier line."""
+    rnd = random.Random(3)
+    core = [f"g{j}" for j in range(60)]
+
+    def edited(k, n):
+        gone = set(rnd.sample(range(60), n))
+        return " ".join(f"e{k}x{j}" if j in gone else w for j, w in enumerate(core))
+
+    rows = [(0, edited(0, 9))] + [(k, edited(k, 4)) for k in range(1, 151)]
+    seen, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, held: seen.append(pairs.count()) or verified(pairs, held))
+    got = same(spark, rows)
+    assert len(got) > 130
+    assert len(seen) == 2 and seen[1] < 10 * len(rows)
