@@ -46,9 +46,13 @@ def dropped(*tables: DataFrame, sweep: bool = True) -> None:
 
 
 def swept(spark: SparkSession) -> None:
-    """Lets go of ended jobs' shuffle files: Spark deletes them once the driver's JVM has found their plans unused."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets go of ended jobs' shuffle files: Spark deletes them once the driver's JVM has found their plans unused.
+
+    Twice: after one pass they all still stood; what holds a plan is itself let go in the first.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

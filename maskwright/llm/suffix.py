@@ -392,10 +392,12 @@ def without_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("version"), "text")
     told = common.written(_told_apart(_anchored(docs)), "told")
+    common.swept(docs.sparkSession)  # the contexts' shuffle is the largest; it must not stand beside the next ones
     hot = told.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
     compared = told.where("anchor is not null").join(hot, "anchor", "left").select("doc_id", "place", "span", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
-    told = compared.union(told.where("anchor is null").withColumn("hot", F.lit(False)))
-    removed = _compared(_parts(docs, told))
+    every = compared.union(told.where("anchor is null").withColumn("hot", F.lit(False)))
+    removed = common.written(_compared(_parts(docs, every)), "removed")
+    common.dropped(told)
     listed = removed.groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

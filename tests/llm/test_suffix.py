@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 
-from maskwright.llm import suffix
+from maskwright.llm import common, suffix
 
 
 def brute(rows):
@@ -98,3 +100,18 @@ def test_rows_of_one_doc_id_null_ids_and_empty_table(spark):
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffix.without_repeats(docs).collect())
     assert got[0] == (0, 0) and got[1] == got[2] and got[3] == (2, 300)
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_shuffles_and_tables_of_earlier_steps_are_let_go(spark):
+    """All of them stood beside the last join's, and the check stopped the run for its disk."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    tables = lambda: set(os.listdir(f"{common.shared_folder(spark)}/maskwright")) if os.path.isdir(f"{common.shared_folder(spark)}/maskwright") else set()
+    rows, files, held = corpus(1), shuffled(), tables()
+    out = suffix.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    until = time.monotonic() + 20
+    while (left := shuffled() - files) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    assert [t.partition("-")[0] for t in tables() - held] == ["removed"]
+    assert {r[0]: tuple(r[1:5]) for r in out.collect()} == brute(rows)
