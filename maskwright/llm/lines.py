@@ -1,6 +1,7 @@
 """Exact set-similarity join of lines, and removal of lines that match an earlier one.
 
-links() returns the whole join: every two near sets, and which lines have which set.
+links() returns the whole join: every two near sets, and which lines have which set;
+counted() each line's set and the number of sets near it, without making all pairs.
 matches() and without_repeated_lines() name one earlier match of each line, which is all
 that removal needs; step 5 below is theirs alone.
 
@@ -25,6 +26,7 @@ different texts under one doc_id are told apart.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 21
 #: Steps of the rarity scale for each doubling of the count.
 STEPS = 3
 #: Places of the sieve that finds the lines to verify; what it lets through besides is joined away.
@@ -43,6 +45,8 @@ SIEVE = 1 << 21
 SHARES = 3
 #: Rows under one token that one task may take when it looks for the earliest.
 PART_ROWS = 1 << 20
+#: Lines of a token from which on near sets under it are counted by a pivot.
+HOT = 512
 #: Places before a set under each of its tokens, whose sets are tried beside the earliest: in a wide group of near sets many are far from that one.
 BACK = (1, 2, 4)
 #: Longs in the bitmaps of lines to verify.
@@ -76,7 +80,9 @@ def _rarity(lines: DataFrame) -> DataFrame:
     code = (1 + F.least(F.lit(120), F.floor(STEPS * F.log2(F.col("n") + 1)))).cast("tinyint")
     every = counts.select("bucket", code.alias("code")).union(lines.sparkSession.range(BUCKETS).select("id", F.lit(1).cast("tinyint")))
     dense = every.groupBy("bucket").agg(F.max("code").alias("code"))
-    return common.written(dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "code"))), lambda b: b["code"]).alias("scale")), "rarity")
+    codes = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "code"))), lambda b: b["code"])
+    parts = dense.groupBy(F.shiftright("bucket", 10).alias("part")).agg(codes.alias("codes"))  # one task gathers arrays, not counters
+    return common.written(parts.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "codes"))), lambda p: p["codes"])).alias("scale")), "rarity")
 
 
 def _sets(lines: DataFrame, rarity: DataFrame) -> DataFrame:
@@ -94,6 +100,7 @@ def _sets(lines: DataFrame, rarity: DataFrame) -> DataFrame:
 def _places(sets: DataFrame) -> DataFrame:
     """A row for each token of a prefix: token, doc_id, place, the bitmap and ni, which packs n, the token's position and whether the set is still unmatched."""
     rows = sets.where("prefix is not null").select(*_AT, "n", *_BITS, "open", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.where(F.shiftrightunsigned("token", 56) > 1 + STEPS)  # a token counted once is in no other line
     return rows.select("token", *_AT, *_BITS, F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(cast(i as bigint), 1) | cast(open as bigint)").alias("ni"))
 
 
@@ -106,8 +113,8 @@ def _candidate(x: str, y: str) -> Column:
     return F.expr(f"{earlier} and 4 * least({n}, {m}) >= 3 * greatest({n}, {m}) and 7 * ({differ}) <= {n} + {m} and 7 * least({n} - {i}, {m} - {j}) >= 3 * ({n} + {m})")
 
 
-def _pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
-    joined = rows.alias("x").join(others.alias("y"), (F.col("x.token") == F.col("y.token")) & _candidate("x", "y"))
+def _pairs(rows: DataFrame, others: DataFrame, also: str = "true") -> DataFrame:
+    joined = rows.alias("x").join(others.alias("y"), (F.col("x.token") == F.col("y.token")) & _candidate("x", "y") & F.expr(also))
     return joined.select(F.col("x.doc_id").alias("doc_id"), F.col("x.place").alias("place"), F.col("y.doc_id").alias("other_doc"), F.col("y.place").alias("other_place")).distinct()
 
 
@@ -153,7 +160,7 @@ def _sieved(lines: DataFrame, sieve: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of pairs whose Jaccard similarity, on all tokens, reaches the threshold.
+    """Those of pairs whose Jaccard similarity, on all tokens, reaches the threshold; differ: in how many tokens.
 
     Wider bitmaps, of WIDE times 64 places, go first: they are small, and what passes is mostly near.
     """
@@ -172,8 +179,8 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     held_near = _sieved(held.select(*_AT, "tokens"), narrow)
     other = held_near.select(F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.col("tokens").alias("other_tokens"))
     both = near.join(held_near, _AT).join(other, ["other_doc", "other_place"])
-    shared = F.size(F.array_intersect("tokens", "other_tokens"))
-    found = common.written(both.where(7 * shared >= 3 * (F.size("tokens") + F.size("other_tokens"))).select(*pairs.columns), "found")
+    shared, sizes = F.size(F.array_intersect("tokens", "other_tokens")), F.size("tokens") + F.size("other_tokens")
+    found = common.written(both.where(7 * shared >= 3 * sizes).select(*pairs.columns, (sizes - 2 * shared).alias("differ")), "found")
     common.dropped(sieve, narrow, held, near)
     return found
 
@@ -182,11 +189,12 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(*_AT).union(pairs.select("other_doc", "other_place")).distinct()
 
 
-def _shared(sets: DataFrame, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What pairs finds among the rows of each share of the tokens, written."""
-    found = []
+def _shared(sets: DataFrame, pairs: Callable[[DataFrame], DataFrame], places: Column | None = None, more: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """What pairs finds among the rows (those of places, if given) of each share of the tokens, and more, written."""
+    found = list(more)
     for share in range(SHARES):
-        found.append(common.written(pairs(_places(sets).where(F.pmod("token", F.lit(SHARES)) == share)), "pairs"))
+        own = F.pmod("token", F.lit(SHARES)) == share
+        found.append(common.written(pairs(_places(sets).where(own if places is None else own & places)), "pairs"))
         common.swept(sets.sparkSession)
     every = common.written(reduce(DataFrame.union, found).distinct(), "pairs")
     common.dropped(*found)
@@ -242,6 +250,81 @@ def _linked(docs: DataFrame) -> DataFrame:
     return told
 
 
+def _hot(rarity: DataFrame) -> Column:
+    """Whether a token may be in HOT lines or more, by its count in the key; that is 8 times the median counter at least, as words share counters in a large corpus."""
+    middle = rarity.select(F.get(F.sort_array("scale"), F.lit(BUCKETS // 2)).cast("int")).first()[0]
+    return F.shiftrightunsigned("token", 56) > max(int(STEPS * math.log2(HOT)), middle + 3 * STEPS)
+
+
+def _pivots(sets: DataFrame, lines: DataFrame, hot: Column) -> DataFrame:
+    """Sets under hot tokens that are near an earliest set there, their pivot, and the pivots: n, bitmap, and spare, which is n less 7 times the tokens that differ from the pivot's."""
+    rows = _places(sets).where(hot)
+    names = rows.columns[1:]
+    earliest = rows.groupBy("token").agg(F.min(F.struct(*names)).alias("y"))
+    sides = rows.join(earliest, "token").select(F.struct(*names).alias("x"), "y").where(_candidate("x", "y"))
+    pairs = common.written(sides.select("x.doc_id", "x.place", F.col("y.doc_id").alias("other_doc"), F.col("y.place").alias("other_place")).distinct(), "tried")
+    near = _verified(pairs, lines)
+    own = near.groupBy(*_AT).agg(F.min(F.struct("other_doc", "other_place", "differ")).alias("to")).select(*_AT, "to.*")
+    own = common.written(own, "own")
+    pivots = own.select(F.col("other_doc").alias("doc_id"), F.col("other_place").alias("place")).distinct()
+    itself = pivots.select(*_AT, F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.lit(0).alias("differ"))
+    every = own.join(pivots, _AT, "left_anti").union(itself).join(sets.select(*_AT, "n", *_BITS), _AT)
+    members = common.written(every.select(*_AT, F.col("other_doc").alias("pivot_doc"), F.col("other_place").alias("pivot_place"), "n", *_BITS, (F.col("n") - 7 * F.col("differ")).alias("spare")), "pivots")
+    common.dropped(pairs, near, own)
+    return members
+
+
+def _unsure(members: DataFrame) -> DataFrame:
+    """Pairs under one pivot that the distances from it do not prove near, as far as lengths and bitmaps let them pass."""
+    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS)
+    earlier = "(y.doc_id < x.doc_id or (y.doc_id = x.doc_id and y.place < x.place))"
+    passing = F.expr(f"x.pivot_doc = y.pivot_doc and x.pivot_place = y.pivot_place and {earlier} and x.spare + y.spare < 0 and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and 7 * ({differ}) <= x.n + y.n")
+    joined = members.alias("x").join(members.alias("y"), passing)
+    return joined.select("x.doc_id", "x.place", F.col("y.doc_id").alias("other_doc"), F.col("y.place").alias("other_place"))
+
+
+def _sure(members: DataFrame) -> DataFrame:
+    """doc_id, place, links: how many others under its pivot a set is surely near, by the pivot's counts of each spare."""
+    counts = members.groupBy("pivot_doc", "pivot_place", "spare").agg(F.count("*").alias("c"))
+    every = counts.groupBy("pivot_doc", "pivot_place").agg(F.collect_list(F.struct("spare", "c")).alias("all"))
+    each = every.select("pivot_doc", "pivot_place", "all", F.explode("all").alias("own"))
+    links = F.expr("aggregate(all, 0L, (sum, o) -> if(o.spare + own.spare >= 0, sum + o.c, sum)) - if(own.spare >= 0, 1, 0)")
+    return members.join(each.select("pivot_doc", "pivot_place", "own.spare", links.alias("links")), ["pivot_doc", "pivot_place", "spare"]).select(*_AT, "links")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """doc_id, place, class_doc, class_place, n_links of every line with words.
+
+    Two sets that differ from a pivot in a and b tokens differ in a + b at most: where
+    7 (a + b) <= n + m they are near, and are counted without being paired. So the pairs
+    under hot tokens do not grow with the square of a wide group of near sets; all others
+    are verified as in _linked.
+    """
+    lines = common.written(_tokenised(docs.select("doc_id", "text")), "tokens")
+    rarity = _rarity(lines)
+    sets = common.written(_sets(lines, rarity), "sets")
+    hot = _hot(rarity)
+    common.dropped(rarity)
+    members = _pivots(sets, lines, hot)
+    unsure = common.written(_unsure(members), "pairs")
+    apart = _places(sets).where(hot).join(members.select(*_AT, "pivot_doc", "pivot_place"), _AT, "left")
+    other = common.written(_pairs(apart, apart, "not coalesce(x.pivot_doc = y.pivot_doc and x.pivot_place = y.pivot_place, false)"), "pairs")
+    pairs = _shared(sets, lambda rows: _pairs(rows, rows), ~hot, (unsure, other))
+    near = _verified(pairs, lines)
+    common.dropped(pairs)
+    # What _sure counts may have met under a token that is not hot.
+    mine = members.select(*_AT, "pivot_doc", "pivot_place", "spare")
+    theirs = mine.toDF("other_doc", "other_place", "y_doc", "y_place", "y_spare")
+    known = near.join(mine, _AT, "left").join(theirs, ["other_doc", "other_place"], "left")
+    rest = known.where("not coalesce(pivot_doc = y_doc and pivot_place = y_place and spare + y_spare >= 0, false)")
+    ends = rest.select(*_AT, F.lit(1).cast("bigint").alias("links")).union(rest.select("other_doc", "other_place", F.lit(1).cast("bigint")))
+    links = ends.groupBy(*_AT).agg(F.sum("links").alias("links")).union(_sure(members)).groupBy(*_AT).agg(F.sum("links").alias("links"))
+    classes = sets.select("d1", "d2", *_AT).join(links, _AT, "left").select("d1", "d2", F.col("doc_id").alias("class_doc"), F.col("place").alias("class_place"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    told = common.written(lines.select(*_AT, "d1", "d2").join(classes, ["d1", "d2"]).select(*_AT, "class_doc", "class_place", "n_links").distinct(), "classes")
+    common.dropped(lines, sets, members, near)
+    return told
+
+
 def _line(place: str) -> Column:
     return F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
@@ -270,6 +353,16 @@ def links(docs: DataFrame) -> DataFrame:
     return _linked(docs).select("doc_id", _line("place").alias("line"), F.col("match_doc").alias("match_doc_id"), _line("match_place").alias("match_line"), "same")
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, line, class_doc_id, class_line, n_links: the whole similarity join, its links counted.
+
+    A row for every line that has words: the class of its words, by the earliest of
+    their lines, and how many other classes are near that one. Classes and links are
+    those of links(), whose pairs are not all made for it. Lines are those of matches().
+    """
+    return _counted(docs).select("doc_id", _line("place").alias("line"), F.col("class_doc").alias("class_doc_id"), _line("class_place").alias("class_line"), "n_links")
+
+
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with the text of each row less the lines that match an earlier one; other lines and columns as they are.
 
@@ -287,4 +380,4 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return counted(common.table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -141,3 +141,23 @@ def test_few_lines_of_a_wide_group_meet_all_earlier_ones(spark, monkeypatch):
     got = same(spark, rows)
     assert len(got) > 130
     assert len(seen) == 2 and seen[1] < 10 * len(rows)
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 2)])
+def test_links_are_counted_without_pairing_wide_groups(spark, monkeypatch, seed, hot):
+    """Every class and its number of links; the pairs of a wide group of near lines are not verified one by one."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rnd = random.Random(seed)
+    core = [f"g{j}" for j in range(60)]
+    group = [(1000 + k, " ".join([f"e{k}x{j}" if j in gone else w for j, w in enumerate(core)])) for k in range(120) for gone in [set(rnd.sample(range(60), rnd.choice([1, 1, 2, 6])))]]
+    rows = corpus(seed) + group + [(1200, group[3][1]), (1200, group[3][1])]
+    every = [(i, k, tokens(line)) for i, text in sorted({r for r in rows if r[0] is not None and r[1] is not None}) for k, line in enumerate(text.split("\n"))]
+    first = {}
+    for i, k, s in every:
+        first.setdefault(s, (i, k))
+    near = {s: sum(4 * len(s & t) >= 3 * len(s | t) for t in first if t) - 1 for s in first if s}
+    seen, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, held: seen.append(pairs.count()) or verified(pairs, held))
+    got = [tuple(r) for r in lines.counted(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, k, *first[s], near[s]) for i, k, s in every if s}
+    assert sum(near.values()) // 2 > 2 * sum(seen)
