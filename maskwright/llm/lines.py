@@ -45,8 +45,16 @@ SIEVE = 1 << 21
 SHARES = 3
 #: Rows under one token that one task may take when it looks for the earliest.
 PART_ROWS = 1 << 20
-#: Lines of a token from which on near sets under it are counted by a pivot.
+#: Lines of a token from which on near sets under it are gathered about a centre.
 HOT = 512
+#: Sets of each hot token, beside the earliest, that others may gather about: that one may be far from most.
+PIVOTS = 2
+#: Tokens in which a set may differ from its centre; farther ones are paired as all others are.
+FAR = 128
+#: Shares of all tokens for the counted join, of which each token has rows of two kinds.
+COUNT_SHARES = 5
+#: Ratio of the sizes at which a class begins and ends: above 4 / 3, so that near sets are of one class or of two neighbours.
+RISE = 1.34
 #: Places before a set under each of its tokens, whose sets are tried beside the earliest: in a wide group of near sets many are far from that one.
 BACK = (1, 2, 4)
 #: Longs in the bitmaps of lines to verify.
@@ -70,8 +78,9 @@ def _tokenised(docs: DataFrame) -> DataFrame:
     spaced = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate("words", "\t\r\x0b\x0c", "    ")).otherwise(F.col("words"))  # one space needs no regular expression
     hashes = F.transform(F.array_remove(F.split(spaced, " ", -1), ""), lambda w: F.shiftrightunsigned(F.xxhash64(w), 8))
     place = F.shiftleft("version", 32).bitwiseOR(F.col("line").cast("bigint"))
-    tokens = split.select("doc_id", place.alias("place"), F.sort_array(F.array_distinct(hashes)).alias("tokens"))
-    return tokens.where(F.size("tokens") > 0).select("doc_id", "place", "tokens", F.xxhash64("tokens").alias("d1"), F.xxhash64(F.lit(7), "tokens").alias("d2"))
+    worded = split.where(F.length(F.trim(spaced)) > 0)  # a filter of the tokens would make them twice
+    tokens = worded.select("doc_id", place.alias("place"), F.sort_array(F.array_distinct(hashes)).alias("tokens"))
+    return tokens.select("doc_id", "place", "tokens", F.xxhash64("tokens").alias("d1"), F.xxhash64(F.lit(7), "tokens").alias("d2"))
 
 
 def _rarity(lines: DataFrame) -> DataFrame:
@@ -89,7 +98,8 @@ def _sets(lines: DataFrame, rarity: DataFrame) -> DataFrame:
     """One row for each distinct set: its first line, size n, bitmap and prefix (token keys, the rarest first; null below three tokens)."""
     n = F.size("tokens")
     lines = lines.withColumn("scale", rarity.select("scale").scalar())  # a subquery: as a literal it would fill each plan's description
-    keys = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(F.col("scale"), t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(t)))
+    # Never null, so that they are sorted as plain longs.
+    keys = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.coalesce(F.get(F.col("scale"), t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(1).cast("tinyint")).cast("bigint"), 56).bitwiseOR(t)))
     bits = [F.expr(f"aggregate(tokens, 0L, (parity, t) -> if(t & 64 = {half}, parity ^ shiftleft(1L, cast(t & 63 as int)), parity))").alias(name) for name, half in zip(_BITS, (0, 64), strict=True)]
     prefix = F.slice(keys, F.lit(1), n - F.expr("(3 * size(tokens) + 3) div 4").cast("int") + 1)
     rows = lines.select("d1", "d2", F.struct(*_AT).alias("at"), n.alias("n"), *bits, F.when(n >= 3, prefix).alias("prefix"))
@@ -105,12 +115,26 @@ def _places(sets: DataFrame) -> DataFrame:
 
 
 def _candidate(x: str, y: str) -> Column:
-    """Whether y is earlier than x, x unmatched, and length, bitmap and positional filters let both pass. One expression of both sides: both read one shuffle."""
+    """Whether y is earlier than x, x unmatched, and the filters let both pass. One expression of both sides: both read one shuffle."""
+    return F.expr(f"({x}.ni & 1) > if({_earlier(x, y)}, 0, 1) and {_passing(x, y)}")
+
+
+def _earlier(x: str, y: str) -> str:
+    return f"({y}.doc_id < {x}.doc_id or ({y}.doc_id = {x}.doc_id and {y}.place < {x}.place))"
+
+
+def _passing(x: str, y: str) -> str:
+    """Length, bitmap and positional filters."""
     n, m = f"shiftright({x}.ni, 32)", f"shiftright({y}.ni, 32)"
     i, j = (f"shiftright({s}.ni & 4294967295, 1)" for s in (x, y))
+    return f"{_alike(x, y)} and 7 * least({n} - {i}, {m} - {j}) >= 3 * ({n} + {m})"
+
+
+def _alike(x: str, y: str) -> str:
+    """Length and bitmap filters."""
+    n, m = f"shiftright({x}.ni, 32)", f"shiftright({y}.ni, 32)"
     differ = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
-    earlier = f"({x}.ni & 1) > if({y}.doc_id < {x}.doc_id or ({y}.doc_id = {x}.doc_id and {y}.place < {x}.place), 0, 1)"
-    return F.expr(f"{earlier} and 4 * least({n}, {m}) >= 3 * greatest({n}, {m}) and 7 * ({differ}) <= {n} + {m} and 7 * least({n} - {i}, {m} - {j}) >= 3 * ({n} + {m})")
+    return f"4 * least({n}, {m}) >= 3 * greatest({n}, {m}) and 7 * ({differ}) <= {n} + {m}"
 
 
 def _pairs(rows: DataFrame, others: DataFrame, also: str = "true") -> DataFrame:
@@ -141,22 +165,24 @@ def _hubs(rows: DataFrame) -> DataFrame:
 
 
 def _sieve(wanted: DataFrame) -> DataFrame:
-    """One row, written: chunks, the bitmap in which the place of each wanted line is set, cut into pieces of 4,096 bytes. Its size is fixed."""
-    parts = wanted.select((_slot() + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    by_number = parts.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("found"))  # SIEVE / 32768 entries at most
-    chunks = F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(SIEVE >> 15).cast("bigint")), lambda k: F.coalesce(F.try_element_at("found", k), F.lit(bytes(4096))))
-    return common.written(by_number.select(chunks.alias("chunks")), "sieve")
+    """One row, written: words, the bitmap in which the place of each wanted line is set, as SIEVE / 64 longs."""
+    word = F.shiftright(_slot(), 6).alias("word")
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    found = wanted.select(_slot().alias("slot"), word).select("word", bit.alias("bit"))
+    every = found.union(wanted.sparkSession.range(SIEVE >> 6).select("id", F.lit(0).cast("bigint")))
+    dense = every.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])
+    return common.written(dense.agg(words.alias("words")), "sieve")
 
 
 def _slot() -> Column:
-    return F.pmod(F.xxhash64(*_AT), F.lit(SIEVE))
+    return F.xxhash64(*_AT).bitwiseAND(F.lit(SIEVE - 1))
 
 
 def _sieved(lines: DataFrame, sieve: DataFrame) -> DataFrame:
     """lines (with doc_id, place) that the sieve lets through."""
-    chunk = F.get(sieve.select("chunks").scalar(), F.shiftright(_slot(), 15).cast("int"))
-    byte = F.conv(F.hex(F.substring(chunk, F.shiftright(_slot(), 3).bitwiseAND(F.lit(4095)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return lines.where(F.getbit(byte, _slot().bitwiseAND(F.lit(7)).cast("int")) == 1)
+    word = F.get(sieve.select("words").scalar(), F.shiftright(_slot(), 6).cast("int"))
+    return lines.where(F.getbit(word, _slot().bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -256,72 +282,123 @@ def _hot(rarity: DataFrame) -> Column:
     return F.shiftrightunsigned("token", 56) > max(int(STEPS * math.log2(HOT)), middle + 3 * STEPS)
 
 
-def _pivots(sets: DataFrame, lines: DataFrame, hot: Column) -> DataFrame:
-    """Sets under hot tokens that are near an earliest set there, their pivot, and the pivots: n, bitmap, and spare, which is n less 7 times the tokens that differ from the pivot's."""
+def _rising(larger: DataFrame, smaller: DataFrame, also: str = "true") -> DataFrame:
+    """Candidate pairs of rows of _sides(): doc_id, place of the larger set (of two as large, the later one), other_doc, other_place of the other."""
+    n, m = "shiftright(x.ni, 32)", "shiftright(y.ni, 32)"
+    passing = F.expr(f"({m} < {n} or ({m} = {n} and {_earlier('x', 'y')})) and {_passing('x', 'y')} and {also}")
+    joined = larger.alias("x").join(smaller.alias("y"), (F.col("x.key") == F.col("y.key")) & passing)
+    return joined.select("x.doc_id", "x.place", F.col("y.doc_id").alias("other_doc"), F.col("y.place").alias("other_place")).distinct()
+
+
+def _sides(sets: DataFrame, own: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of the sets under the tokens that own chooses, as the larger and as the smaller of two.
+
+    The larger set, of n tokens, shares at least 3 (n + m) / 7 of them with one of m: with
+    all its prefix it meets those tokens of the smaller one among which 6 m / 7 leave one
+    out, m div 7 + 1. The key has the class of the larger set's size; a smaller one is of that
+    class or the next below. Under the next above, whose sizes begin at b, it needs
+    only as many tokens as 3 (b + m) / 7 leave.
+    """
+    level = F.floor(F.log("n") / math.log(RISE)).cast("int")
+    held = sets.where("prefix is not null").select(*_AT, "n", *_BITS, "prefix", level.alias("level"))
+    seen = (F.shiftrightunsigned("token", 56) > 1 + STEPS) & own  # a token counted once is in no other line
+    ni = F.expr("shiftleft(cast(n as bigint), 32) | shiftleft(cast(i as bigint), 1) | 1").alias("ni")
+    larger = held.select(*_AT, "n", *_BITS, "level", F.posexplode("prefix").alias("i", "token")).where(seen)
+    larger = larger.select(F.xxhash64("token", "level").alias("key"), *_AT, *_BITS, ni)
+    above = F.expr(f"n - (3 * (cast(floor(power({RISE}D, level + 1)) as int) + n) + 6) div 7 + 1")
+    smaller = held.select(*_AT, "n", *_BITS, "level", above.alias("above"), F.posexplode(F.slice("prefix", F.lit(1), F.expr("cast(n div 7 as int) + 1"))).alias("i", "token")).where(seen)
+    levels = F.when(F.col("i") < F.col("above"), F.array(F.col("level"), F.col("level") + 1)).otherwise(F.array("level"))
+    smaller = smaller.select("token", *_AT, *_BITS, ni, F.explode(levels).alias("under"))
+    return larger, smaller.select(F.xxhash64("token", "under").alias("key"), *_AT, *_BITS, "ni")
+
+
+def _centred(sets: DataFrame, lines: DataFrame, hot: Column) -> DataFrame:
+    """doc_id, place, c1, c2, n, spare, apart of sets about a centre: the digest of its tokens, in which tokens the set differs from it, and n less 7 times their number.
+
+    Sets under hot tokens gather about the earliest set there that passes the filters or, if
+    none does, about one of PIVOTS sets there that their digests choose. The centre is what
+    most of those gathered hold, no line of its own; equal centres are one. Any set may be
+    about any centre: what follows is exact for all.
+    """
     rows = _places(sets).where(hot)
     names = rows.columns[1:]
-    earliest = rows.groupBy("token").agg(F.min(F.struct(*names)).alias("y"))
-    sides = rows.join(earliest, "token").select(F.struct(*names).alias("x"), "y").where(_candidate("x", "y"))
-    pairs = common.written(sides.select("x.doc_id", "x.place", F.col("y.doc_id").alias("other_doc"), F.col("y.place").alias("other_place")).distinct(), "tried")
-    near = _verified(pairs, lines)
-    own = near.groupBy(*_AT).agg(F.min(F.struct("other_doc", "other_place", "differ")).alias("to")).select(*_AT, "to.*")
-    own = common.written(own, "own")
-    pivots = own.select(F.col("other_doc").alias("doc_id"), F.col("other_place").alias("place")).distinct()
-    itself = pivots.select(*_AT, F.col("doc_id").alias("other_doc"), F.col("place").alias("other_place"), F.lit(0).alias("differ"))
-    every = own.join(pivots, _AT, "left_anti").union(itself).join(sets.select(*_AT, "n", *_BITS), _AT)
-    members = common.written(every.select(*_AT, F.col("other_doc").alias("pivot_doc"), F.col("other_place").alias("pivot_place"), "n", *_BITS, (F.col("n") - 7 * F.col("differ")).alias("spare")), "pivots")
-    common.dropped(pairs, near, own)
+    chosen = [F.min(F.struct(*names)).alias("y0")] + [F.min(F.struct(F.xxhash64(F.lit(k), *_AT).alias("h"), *names)).alias(f"y{k}") for k in range(1, PIVOTS + 1)]
+    sides = rows.join(rows.groupBy("token").agg(*chosen), "token").select(F.struct(*names).alias("x"), *[f"y{k}" for k in range(PIVOTS + 1)])
+    passing = [_candidate("x", "y0")] + [F.expr(f"(x.doc_id != y{k}.doc_id or x.place != y{k}.place) and {_alike('x', f'y{k}')}") for k in range(1, PIVOTS + 1)]
+    pivot = ["pivot_doc", "pivot_place"]
+    tried = [F.when(passes, F.struct(F.lit(k).alias("k"), F.col(f"y{k}.doc_id").alias("pivot_doc"), F.col(f"y{k}.place").alias("pivot_place"))) for k, passes in enumerate(passing)]
+    gathered = sides.select("x.doc_id", "x.place", F.coalesce(*tried).alias("to")).where("to is not null").groupBy(*_AT).agg(F.min("to").alias("to"))
+    own = common.written(gathered.select(*_AT, *[f"to.{c}" for c in pivot]), "own")
+    alone = own.select(F.col("pivot_doc").alias("doc_id"), F.col("pivot_place").alias("place")).distinct().join(own, _AT, "left_anti")
+    every = own.union(alone.select(*_AT, F.col("doc_id").alias("pivot_doc"), F.col("place").alias("pivot_place")))
+    sieve = _sieve(every.select(*_AT))
+    held = common.written(_sieved(lines.select(*_AT, "tokens"), sieve).join(every, _AT).dropDuplicates(_AT), "members")
+    counts = held.select(*pivot, F.explode("tokens").alias("token")).groupBy(*pivot, "token").agg(F.count("*").alias("c"))
+    most = counts.join(held.groupBy(*pivot).agg(F.count("*").alias("gathered")), pivot).where("2 * c > gathered")
+    centres = most.groupBy(*pivot).agg(F.sort_array(F.collect_list("token")).alias("centre"))
+    apart = F.concat(F.array_except("tokens", "centre"), F.array_except("centre", "tokens"))
+    near = held.join(centres, pivot).select(*_AT, F.xxhash64("centre").alias("c1"), F.xxhash64(F.lit(7), "centre").alias("c2"), F.size("tokens").alias("n"), apart.alias("apart"))
+    near = near.select("*", (F.col("n") - 7 * F.size("apart")).alias("spare"))
+    members = common.written(near.where(f"spare >= -3 * n and size(apart) <= {FAR}"), "centred")
+    common.dropped(own, sieve, held)
     return members
 
 
 def _unsure(members: DataFrame) -> DataFrame:
-    """Pairs under one pivot that the distances from it do not prove near, as far as lengths and bitmaps let them pass."""
-    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS)
-    earlier = "(y.doc_id < x.doc_id or (y.doc_id = x.doc_id and y.place < x.place))"
-    passing = F.expr(f"x.pivot_doc = y.pivot_doc and x.pivot_place = y.pivot_place and {earlier} and x.spare + y.spare < 0 and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and 7 * ({differ}) <= x.n + y.n")
-    joined = members.alias("x").join(members.alias("y"), passing)
+    """Every two sets about one centre that are near though their distances from it do not prove it: those differ in common tokens, under the least of which they meet."""
+    rows = members.select(*_AT, "c1", "c2", "spare", "apart", F.explode("apart").alias("token"))
+    both = "array_intersect(x.apart, y.apart)"
+    near = F.expr(f"x.c1 = y.c1 and x.c2 = y.c2 and x.token = y.token and {_earlier('x', 'y')} and x.spare + y.spare < 0 and x.spare + y.spare + 14 * size({both}) >= 0 and array_min({both}) = x.token")
+    joined = rows.alias("x").join(rows.alias("y"), near)
     return joined.select("x.doc_id", "x.place", F.col("y.doc_id").alias("other_doc"), F.col("y.place").alias("other_place"))
 
 
 def _sure(members: DataFrame) -> DataFrame:
-    """doc_id, place, links: how many others under its pivot a set is surely near, by the pivot's counts of each spare."""
-    counts = members.groupBy("pivot_doc", "pivot_place", "spare").agg(F.count("*").alias("c"))
-    every = counts.groupBy("pivot_doc", "pivot_place").agg(F.collect_list(F.struct("spare", "c")).alias("all"))
-    each = every.select("pivot_doc", "pivot_place", "all", F.explode("all").alias("own"))
+    """doc_id, place, links: how many others about its centre a set is surely near, by the centre's counts of each spare."""
+    counts = members.groupBy("c1", "c2", "spare").agg(F.count("*").alias("c"))
+    every = counts.groupBy("c1", "c2").agg(F.collect_list(F.struct("spare", "c")).alias("all"))
+    each = every.select("c1", "c2", "all", F.explode("all").alias("own"))
     links = F.expr("aggregate(all, 0L, (sum, o) -> if(o.spare + own.spare >= 0, sum + o.c, sum)) - if(own.spare >= 0, 1, 0)")
-    return members.join(each.select("pivot_doc", "pivot_place", "own.spare", links.alias("links")), ["pivot_doc", "pivot_place", "spare"]).select(*_AT, "links")
+    return members.join(each.select("c1", "c2", "own.spare", links.alias("links")), ["c1", "c2", "spare"]).select(*_AT, "links")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     """doc_id, place, class_doc, class_place, n_links of every line with words.
 
-    Two sets that differ from a pivot in a and b tokens differ in a + b at most: where
-    7 (a + b) <= n + m they are near, and are counted without being paired. So the pairs
-    under hot tokens do not grow with the square of a wide group of near sets; all others
-    are verified as in _linked.
+    Two sets that differ from a centre in a and b tokens, c of them in both, differ in
+    a + b - 2 c. Where 7 (a + b) <= n + m they are near, and are counted without being
+    paired; else they are near only if they share such a token, and are paired by it. So
+    pairs do not grow with the square of a wide group of near sets; all others are
+    verified as in _linked.
     """
     lines = common.written(_tokenised(docs.select("doc_id", "text")), "tokens")
     rarity = _rarity(lines)
     sets = common.written(_sets(lines, rarity), "sets")
     hot = _hot(rarity)
     common.dropped(rarity)
-    members = _pivots(sets, lines, hot)
-    unsure = common.written(_unsure(members), "pairs")
-    apart = _places(sets).where(hot).join(members.select(*_AT, "pivot_doc", "pivot_place"), _AT, "left")
-    other = common.written(_pairs(apart, apart, "not coalesce(x.pivot_doc = y.pivot_doc and x.pivot_place = y.pivot_place, false)"), "pairs")
-    pairs = _shared(sets, lambda rows: _pairs(rows, rows), ~hot, (unsure, other))
+    members = _centred(sets, lines, hot)
+    unsure = common.written(_unsure(members), "unsure")
+    mine = members.select(*_AT, "c1", "c2")
+    larger, smaller = (side.join(mine, _AT, "left") for side in _sides(sets, hot))
+    found = [common.written(_rising(larger, smaller, "not coalesce(x.c1 = y.c1 and x.c2 = y.c2, false)"), "pairs")]
+    for share in range(COUNT_SHARES):
+        common.swept(sets.sparkSession)
+        found.append(common.written(_rising(*_sides(sets, ~hot & (F.pmod("token", F.lit(COUNT_SHARES)) == share))), "pairs"))
+    common.swept(sets.sparkSession)
+    # Two about one centre, met under a token that is not hot, are counted already.
+    theirs = mine.toDF("other_doc", "other_place", "o1", "o2")
+    apart = reduce(DataFrame.union, found).distinct().join(mine, _AT, "left").join(theirs, ["other_doc", "other_place"], "left")
+    pairs = common.written(apart.where("not coalesce(c1 = o1 and c2 = o2, false)").select(*_AT, "other_doc", "other_place"), "pairs")
+    common.dropped(*found)
     near = _verified(pairs, lines)
     common.dropped(pairs)
-    # What _sure counts may have met under a token that is not hot.
-    mine = members.select(*_AT, "pivot_doc", "pivot_place", "spare")
-    theirs = mine.toDF("other_doc", "other_place", "y_doc", "y_place", "y_spare")
-    known = near.join(mine, _AT, "left").join(theirs, ["other_doc", "other_place"], "left")
-    rest = known.where("not coalesce(pivot_doc = y_doc and pivot_place = y_place and spare + y_spare >= 0, false)")
-    ends = rest.select(*_AT, F.lit(1).cast("bigint").alias("links")).union(rest.select("other_doc", "other_place", F.lit(1).cast("bigint")))
-    links = ends.groupBy(*_AT).agg(F.sum("links").alias("links")).union(_sure(members)).groupBy(*_AT).agg(F.sum("links").alias("links"))
+    linked = near.select(*_AT, "other_doc", "other_place").union(unsure)
+    ends = linked.select(*_AT, F.lit(1).cast("bigint").alias("links")).union(linked.select("other_doc", "other_place", F.lit(1).cast("bigint")))
+    links = ends.union(_sure(members)).groupBy(*_AT).agg(F.sum("links").alias("links"))
     classes = sets.select("d1", "d2", *_AT).join(links, _AT, "left").select("d1", "d2", F.col("doc_id").alias("class_doc"), F.col("place").alias("class_place"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    told = common.written(lines.select(*_AT, "d1", "d2").join(classes, ["d1", "d2"]).select(*_AT, "class_doc", "class_place", "n_links").distinct(), "classes")
-    common.dropped(lines, sets, members, near)
+    each = lines.select(*_AT, "d1", "d2").repartition("d1", "d2").distinct()  # dealt as the join needs it
+    told = common.written(each.join(classes, ["d1", "d2"]).select(*_AT, "class_doc", "class_place", "n_links"), "classes")
+    common.dropped(lines, sets, members, near, unsure)
     return told
 
 

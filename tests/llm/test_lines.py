@@ -161,3 +161,22 @@ def test_links_are_counted_without_pairing_wide_groups(spark, monkeypatch, seed,
     got = [tuple(r) for r in lines.counted(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, k, *first[s], near[s]) for i, k, s in every if s}
     assert sum(near.values()) // 2 > 2 * sum(seen)
+
+
+def test_wide_groups_of_which_most_are_far_from_each_other_are_not_paired(spark, monkeypatch):
+    """Distances from any line prove little here; those from what most lines hold leave few pairs. Sizes reach over several classes."""
+    monkeypatch.setattr(lines, "HOT", 64)
+    rnd = random.Random(8)
+    core = [f"g{j}" for j in range(60)]
+    rows = []
+    for k in range(200):
+        gone = set(rnd.sample(range(60), rnd.choice([5, 5, 6, 3])))
+        rows.append((k, " ".join(f"e{k}x{j}" if j in gone else w for j, w in enumerate(core))))
+    rows += [(300 + n, " ".join(f"s{j}" for j in range(n))) for n in range(1, 50)]
+    sets = [tokens(text) for _, text in rows]
+    near = [sum(4 * len(s & t) >= 3 * len(s | t) for t in sets) - 1 for s in sets]
+    seen, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, held: seen.append(pairs.count()) or verified(pairs, held))
+    got = {tuple(r) for r in lines.counted(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(i, 0, i, 0, n) for (i, _), n in zip(rows, near, strict=True)}
+    assert sum(near[:200]) > 2000 and sum(seen) < 2000
