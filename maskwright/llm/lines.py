@@ -49,6 +49,8 @@ PART_ROWS = 1 << 20
 HOT = 512
 #: Sets of each hot token, beside the earliest, that others may gather about: that one may be far from most.
 PIVOTS = 2
+#: Sets that gather at least where a centre is made.
+FEW = 8
 #: Tokens in which a set may differ from its centre; farther ones are paired as all others are.
 FAR = 128
 #: Shares of all tokens for the counted join, of which each token has rows of two kinds.
@@ -331,6 +333,7 @@ def _centred(sets: DataFrame, lines: DataFrame, hot: Column) -> DataFrame:
     own = common.written(gathered.select(*_AT, *[f"to.{c}" for c in pivot]), "own")
     alone = own.select(F.col("pivot_doc").alias("doc_id"), F.col("pivot_place").alias("place")).distinct().join(own, _AT, "left_anti")
     every = own.union(alone.select(*_AT, F.col("doc_id").alias("pivot_doc"), F.col("place").alias("pivot_place")))
+    every = every.join(every.groupBy(*pivot).agg(F.count("*").alias("gathered")).where(f"gathered >= {FEW}").select(*pivot), pivot)  # fewer are paired as all others are
     sieve = _sieve(every.select(*_AT))
     held = common.written(_sieved(lines.select(*_AT, "tokens"), sieve).join(every, _AT).dropDuplicates(_AT), "members")
     counts = held.select(*pivot, F.explode("tokens").alias("token")).groupBy(*pivot, "token").agg(F.count("*").alias("c"))
@@ -396,8 +399,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     ends = linked.select(*_AT, F.lit(1).cast("bigint").alias("links")).union(linked.select("other_doc", "other_place", F.lit(1).cast("bigint")))
     links = ends.union(_sure(members)).groupBy(*_AT).agg(F.sum("links").alias("links"))
     classes = sets.select("d1", "d2", *_AT).join(links, _AT, "left").select("d1", "d2", F.col("doc_id").alias("class_doc"), F.col("place").alias("class_place"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    each = lines.select(*_AT, "d1", "d2").repartition("d1", "d2").distinct()  # dealt as the join needs it
-    told = common.written(each.join(classes, ["d1", "d2"]).select(*_AT, "class_doc", "class_place", "n_links"), "classes")
+    told = common.written(lines.select(*_AT, "d1", "d2").join(classes, ["d1", "d2"]).select(*_AT, "class_doc", "class_place", "n_links").distinct(), "classes")
     common.dropped(lines, sets, members, near, unsure)
     return told
 
